@@ -38,15 +38,21 @@ def is_negative(w: Column) -> Column:
     return F.substring(w, 1, 1) >= F.lit("8")
 
 
+def magnitude_word(w: Column, negative: Column) -> Column:
+    """The word itself, or its one's complement when negative (one short of the absolute value)."""
+    return F.when(negative, F.translate(w, "0123456789abcdef", "fedcba9876543210")).otherwise(w)
+
+
+def magnitude_limbs(magnitude: Column, negative: Column) -> Column:
+    """Limbs of the absolute value from ``magnitude_word``; the last limb takes the missing one uncarried."""
+    limbs = u256_limbs(magnitude)
+    one = F.when(negative, 1).otherwise(0).cast("long")
+    return F.array(*[limbs[i] for i in range(LIMBS - 1)], limbs[LIMBS - 1] + one)
+
+
 def i256_abs(w: Column) -> Column:
     """Limbs of the absolute value of a two's-complement word."""
-    raw = u256_limbs(w)
-    flipped = F.array(
-        F.lit(0xFFFF) - raw[0],
-        *[F.lit(BASE - 1) - raw[i] for i in range(1, LIMBS - 1)],
-        F.lit(BASE) - raw[LIMBS - 1],
-    )
-    return F.when(is_negative(w), flipped).otherwise(raw)
+    return magnitude_limbs(magnitude_word(w, is_negative(w)), is_negative(w))
 
 
 def sum_u256(limbs: Column) -> Column:

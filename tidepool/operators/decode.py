@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import fee_label, token_age_hours
-from tidepool.functions.words import ZERO_WORD, i256_abs, is_negative, u256_limbs, word, word_address
+from tidepool.functions.words import ZERO_WORD, is_negative, magnitude_limbs, magnitude_word, word, word_address
 from tidepool.runtime import skew_join
 from tidepool.sources.dex import DEXES, POOL_CREATED_FEE, POOL_CREATED_STABLE, SWAP_AERODROME, SWAP_V2, SWAP_V3, DexSpec, is_known_quote, quote_token
 
@@ -34,55 +34,47 @@ def decode_launches(logs: DataFrame, specs: list[DexSpec] | DexSpec | None = Non
     ).withColumn("pool_address", F.when(F.col("_by_fee"), F.col("_pool1")).otherwise(F.col("_pool0"))).drop("_pool0", "_pool1", "_by_fee")
 
 
-def _swap_rows(logs: DataFrame, side: Column, limbs: Column, recipient: Column) -> DataFrame:
-    return logs.withColumns({
-        "pool_address": F.lower("address"),
-        "tx_hash": F.lower("tx_hash"),
-        "side": side,
-        "quote_limbs": limbs,
-        "recipient": recipient,
-    })
-
-
-def _v2_columns(quote_is_token0: Column) -> tuple[Column, Column, Column]:
-    topics, data = F.col("topics"), F.col("data")
-    usable = topics[0].isin(SWAP_V2, SWAP_AERODROME) & (F.size(topics) >= 3) & (F.length(data) >= 2 + 4 * 64)
-    paid_in = F.when(quote_is_token0, word(data, 0)).otherwise(word(data, 1))
-    paid_out = F.when(quote_is_token0, word(data, 2)).otherwise(word(data, 3))
-    bought = paid_in != ZERO_WORD
-    return (
-        F.when(usable, F.when(bought, F.lit("buy")).otherwise(F.lit("sell"))),
-        F.when(usable, u256_limbs(F.when(bought, paid_in).otherwise(paid_out))),
-        F.when(usable, word_address(topics[2])),
-    )
-
+def tag_swaps(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
+    """Every swap log of every exchange with side, quote limbs and recipient; NULL when undecodable.
 
-def _v3_columns(quote_is_token0: Column) -> tuple[Column, Column, Column]:
+    The quote token's own words are words 0/2 when it is token0, else 1/3. Constant-product swaps hold
+    amount-in then amount-out, signed-delta swaps a single signed amount, so the first word serves both.
+    """
     topics, data = F.col("topics"), F.col("data")
-    usable = (topics[0] == SWAP_V3) & (F.size(topics) >= 3) & (F.length(data) >= 2 + 5 * 64)
-    delta = F.when(quote_is_token0, word(data, 0)).otherwise(word(data, 1))
-    bought = ~is_negative(delta) & (delta != ZERO_WORD)
-    return (
-        F.when(usable, F.when(bought, F.lit("buy")).otherwise(F.lit("sell"))),
-        F.when(usable, i256_abs(delta)),
-        F.when(usable, word_address(topics[2])),
+    signed = topics[0] == SWAP_V3
+    usable = topics[0].isin(SWAP_V2, SWAP_AERODROME, SWAP_V3) & (F.size(topics) >= 3) & (
+        F.length(data) >= F.when(signed, 2 + 5 * 64).otherwise(2 + 4 * 64)
     )
-
-
-def tag_swaps(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
-    """Every swap log of every exchange with side, quote limbs and recipient; NULL when undecodable."""
-    v2, v3 = _v2_columns(quote_is_token0), _v3_columns(quote_is_token0)
-    return _swap_rows(logs, *[F.coalesce(a, b) for a, b in zip(v2, v3)])
+    at = F.when(quote_is_token0, 3).otherwise(3 + 64)
+    words = logs.withColumns({
+        "_ok": F.coalesce(usable, F.lit(False)),
+        "_first": F.lower(F.substr(data, at, F.lit(64))),
+        "_out": F.lower(F.substr(data, at + 128, F.lit(64))),
+        "_signed": signed,
+    })
+    first = F.col("_first")
+    negative = F.col("_signed") & is_negative(first)
+    chosen = words.withColumns({"_negative": negative, "_bought": ~negative & (first != ZERO_WORD)})
+    amount = F.when(F.col("_signed") | F.col("_bought"), first).otherwise(F.col("_out"))
+    sized = chosen.withColumn("_word", F.when(F.col("_ok"), magnitude_word(amount, F.col("_negative"))))
+    return sized.withColumns({
+        "pool_address": F.lower("address"),
+        "tx_hash": F.lower("tx_hash"),
+        "side": F.when(F.col("_ok"), F.when(F.col("_bought"), F.lit("buy")).otherwise(F.lit("sell"))),
+        "quote_limbs": F.when(F.col("_ok"), magnitude_limbs(F.col("_word"), F.col("_negative"))),
+        "recipient": F.when(F.col("_ok"), word_address(topics[2])),
+    }).drop("_ok", "_first", "_out", "_signed", "_negative", "_bought", "_word")
 
 
 def decode_swaps_v2(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
     """Constant-product swaps: quote paid in is a buy, otherwise a sell of the amount paid out."""
-    return _swap_rows(logs, *_v2_columns(quote_is_token0)).filter("side IS NOT NULL")
+    wanted = logs.filter(F.col("topics")[0].isin(SWAP_V2, SWAP_AERODROME))
+    return tag_swaps(wanted, quote_is_token0).filter("side IS NOT NULL")
 
 
 def decode_swaps_v3(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
     """Signed-delta swaps: a positive quote delta is a buy, anything else (zero too) a sell."""
-    return _swap_rows(logs, *_v3_columns(quote_is_token0)).filter("side IS NOT NULL")
+    return tag_swaps(logs.filter(F.col("topics")[0] == SWAP_V3), quote_is_token0).filter("side IS NOT NULL")
 
 
 def resolve_token_side(decoded: DataFrame, quotes: DataFrame, creations: DataFrame) -> DataFrame:

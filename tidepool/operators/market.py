@@ -71,7 +71,7 @@ def priced(launches: DataFrame, prices: DataFrame) -> DataFrame:
 def pool_liquidity(launches: DataFrame, reserves: DataFrame) -> DataFrame:
     """2 x quote reserve x price per pool; ``launches`` carries quote_decimals and price_usd."""
     usd = format_units(F.col("quote_reserve_raw"), F.col("quote_decimals")) * F.col("price_usd") * 2
-    return launches.join(reserves, "pool_address").select("pool_address", usd.alias("liquidity_usd"))
+    return launches.select("pool_address", "quote_decimals", "price_usd").join(reserves, "pool_address").select("pool_address", usd.alias("liquidity_usd"))
 
 
 def pools_x_swaps(launches: DataFrame, swaps: DataFrame, tip_block: int, window_blocks: int = BLOCKS_PER_DAY) -> DataFrame:
@@ -101,7 +101,7 @@ def pool_volume(pool_swaps: DataFrame, launches: DataFrame) -> DataFrame:
     """
     totals = pool_swaps.groupBy("pool_address").agg(quote_sum(pool_swaps.columns).alias("_raw"))
     units = raw_to_units(F.col("_raw"), F.col("quote_decimals"), "quote_limbs" in pool_swaps.columns)
-    return launches.join(totals, "pool_address", "left").select(
+    return launches.select("pool_address", "quote_decimals", "price_usd").join(totals, "pool_address", "left").select(
         "pool_address", (F.coalesce(units, F.lit(0.0)) * F.col("price_usd")).alias("volume_usd")
     )
 

@@ -29,6 +29,7 @@ def build_session(cores: str = "8", app: str = "tidepool", **conf: str) -> Spark
         "spark.sql.shuffle.partitions": cores if cores.isdigit() else "8",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
