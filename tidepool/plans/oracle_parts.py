@@ -47,3 +47,14 @@ classified AS (SELECT t.*, p.creator, r.root,
 
 def intel_cte(*parts: str) -> str:
     return ", ".join([duckdb_cte("f_swaps", "f_pools", "f_edges", "f_labels"), *parts])
+
+# Greedy rings, one funder per recursion step and pool.
+RINGS = """held AS (SELECT c.pool_address, x.funder, c.trader, c.quote_raw, c.seen, x.position FROM classified c JOIN private x ON x.pool_address = c.pool_address AND x.wallet = c.trader WHERE c.classification = 'external'),
+grp AS (SELECT *, row_number() OVER (PARTITION BY pool_address ORDER BY size DESC, lead, funder) AS k FROM
+ (SELECT pool_address, funder, count(*) AS size, list(trader) AS members, min((-quote_raw, seen.b, seen.l, trader, position)) AS lead FROM held GROUP BY pool_address, funder HAVING count(*) >= 3)),
+greedy(pool_address, k, taken, fresh, ring_id, funder) AS (
+ SELECT pool_address, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM f_pools UNION ALL
+ SELECT pool_address, k, CASE WHEN len(f) >= 3 THEN list_concat(taken, f) ELSE taken END, CASE WHEN len(f) >= 3 THEN f ELSE CAST([] AS VARCHAR[]) END,
+  ring_id + CASE WHEN len(f) >= 3 THEN 1 ELSE 0 END, funder FROM
+  (SELECT g.pool_address, n.k, g.taken, g.ring_id, n.funder, list_filter(n.members, lambda x: NOT list_contains(g.taken, x)) AS f FROM greedy g JOIN grp n ON n.pool_address = g.pool_address AND n.k = g.k + 1)),
+ring_rows AS (SELECT pool_address, ring_id, funder, fresh FROM greedy WHERE len(fresh) >= 3)"""

@@ -223,8 +223,8 @@ def _liquidity(fx: Fixtures):
 
 _VOLUME = f"{_WINDOW}, vol AS (SELECT p.pool_address, CAST(coalesce(sum(w.quote_raw), 0) AS DOUBLE) / 100 * any_value(price_usd) AS volume_usd FROM f_pools p LEFT JOIN win w ON w.pool_address = p.pool_address LEFT JOIN prices ON token = p.quote_address GROUP BY p.pool_address)"
 _LIQ = "liq AS (SELECT pool_address, quote_reserve_raw / 100.0e0 * price_usd * 2 AS liquidity_usd FROM f_pools LEFT JOIN prices ON token = quote_address WHERE quote_reserve_raw IS NOT NULL)"
-query("pool_volume", f"{_PRICES}, {_VOLUME} SELECT pool_address, round(volume_usd, 2) AS volume_usd FROM vol")(lambda fx: _volume(fx).withColumn("volume_usd", F.round("volume_usd", 2)))
-query("pool_liquidity", f"{_PRICES}, {_LIQ} SELECT pool_address, round(liquidity_usd, 2) AS liquidity_usd FROM liq")(lambda fx: _liquidity(fx).withColumn("liquidity_usd", F.round("liquidity_usd", 2)))
+query("pool_volume", f"{_PRICES}, {_VOLUME} SELECT pool_address, round(volume_usd, 4) AS volume_usd FROM vol")(lambda fx: _volume(fx).withColumn("volume_usd", F.round("volume_usd", 4)))
+query("pool_liquidity", f"{_PRICES}, {_LIQ} SELECT pool_address, round(liquidity_usd, 4) AS liquidity_usd FROM liq")(lambda fx: _liquidity(fx).withColumn("liquidity_usd", F.round("liquidity_usd", 4)))
 
 
 def _market(fx: Fixtures):
@@ -233,14 +233,14 @@ def _market(fx: Fixtures):
     return market.market_data(good, _liquidity(fx), _volume(fx), F.lit("2001-08-01").cast("timestamp_ntz"))
 
 
-def _round2(df, *cols):
-    return df.withColumns({c: F.round(c, 2) for c in cols})
+def _round5(df, *cols):
+    return df.withColumns({c: F.round(c, 5) for c in cols})
 
 
-query("market_data", f"""{_PRICES}, {_VOLUME}, {_LIQ} SELECT p.pool_address, round(l.liquidity_usd, 2) AS liquidity_usd, round(v.volume_usd, 2) AS volume_usd,
- round(v.volume_usd * (1 - p.insider_ratio), 2) AS external_volume_usd, round(v.volume_usd * p.insider_ratio, 2) AS insider_volume_usd
+query("market_data", f"""{_PRICES}, {_VOLUME}, {_LIQ} SELECT p.pool_address, round(l.liquidity_usd, 5) AS liquidity_usd, round(v.volume_usd, 5) AS volume_usd,
+ round(v.volume_usd * (1 - p.insider_ratio), 5) AS external_volume_usd, round(v.volume_usd * p.insider_ratio, 5) AS insider_volume_usd
  FROM f_pools p JOIN prices ON token = p.quote_address AND price_usd IS NOT NULL JOIN liq l ON l.pool_address = p.pool_address JOIN vol v ON v.pool_address = p.pool_address""")(
-    lambda fx: _round2(_market(fx).drop("market_data_updated_at"), "liquidity_usd", "volume_usd", "external_volume_usd", "insider_volume_usd"))
+    lambda fx: _round5(_market(fx).drop("market_data_updated_at"), "liquidity_usd", "volume_usd", "external_volume_usd", "insider_volume_usd"))
 
 
 def _unpriced(fx: Fixtures):
@@ -256,11 +256,11 @@ query("pair_fallback", f"WITH b AS ({_FALLBACK}) SELECT count(*) AS pools, count
 
 
 @query("real_volume_split", f"""{_PRICES}, {_VOLUME}, x AS (SELECT p.pool_address, CASE WHEN p.volume_usd > 0 THEN p.volume_usd ELSE v.volume_usd END AS total, coalesce(p.insider_ratio, 0) AS r FROM f_pools p JOIN vol v ON v.pool_address = p.pool_address)
- SELECT pool_address, round(total, 2) AS total_volume_usd, round(total * (1 - r), 2) AS external_volume_usd, round(total * r, 2) AS insider_volume_usd FROM x""")
+ SELECT pool_address, round(total, 5) AS total_volume_usd, round(total * (1 - r), 5) AS external_volume_usd, round(total * r, 5) AS insider_volume_usd FROM x""")
 def split(fx: Fixtures):
     joined = fx.f_pools.join(_volume(fx).withColumnRenamed("volume_usd", "measured"), "pool_address")
     total, external, insider = market.real_volume_split(F.col("volume_usd"), F.col("measured"), F.col("insider_ratio"))
-    return joined.select("pool_address", F.round(total, 2).alias("total_volume_usd"), F.round(external, 2).alias("external_volume_usd"), F.round(insider, 2).alias("insider_volume_usd"))
+    return joined.select("pool_address", F.round(total, 5).alias("total_volume_usd"), F.round(external, 5).alias("external_volume_usd"), F.round(insider, 5).alias("insider_volume_usd"))
 
 
 @query("first_trades", f"""{_PRICES}, tx AS (SELECT concat('h', o_orderkey) AS hash, concat('w', o_custkey) AS sender FROM orders WHERE o_orderstatus <> 'P'), {_WINDOW},
