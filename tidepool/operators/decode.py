@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import fee_label, token_age_hours
-from tidepool.functions.words import ZERO_WORD, is_negative, magnitude_limbs, magnitude_word, word, word_address
+from tidepool.functions.words import ZERO_WORD, is_negative, magnitude_limbs, magnitude_word, word, word_address, word_chunks
 from tidepool.runtime import skew_join
 from tidepool.sources.dex import DEXES, POOL_CREATED_FEE, POOL_CREATED_STABLE, SWAP_AERODROME, SWAP_V2, SWAP_V3, DexSpec, is_known_quote, quote_token
 
@@ -48,8 +48,8 @@ def tag_swaps(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
     at = F.when(quote_is_token0, 3).otherwise(3 + 64)
     words = logs.withColumns({
         "_ok": F.coalesce(usable, F.lit(False)),
-        "_first": F.lower(F.substr(data, at, F.lit(64))),
-        "_out": F.lower(F.substr(data, at + 128, F.lit(64))),
+        "_first": F.substr(data, at, F.lit(64)),
+        "_out": F.substr(data, at + 128, F.lit(64)),
         "_signed": signed,
     })
     first = F.col("_first")
@@ -57,13 +57,16 @@ def tag_swaps(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
     chosen = words.withColumns({"_negative": negative, "_bought": ~negative & (first != ZERO_WORD)})
     amount = F.when(F.col("_signed") | F.col("_bought"), first).otherwise(F.col("_out"))
     sized = chosen.withColumn("_word", F.when(F.col("_ok"), magnitude_word(amount, F.col("_negative"))))
-    return sized.withColumns({
+    # Own columns, so that each of the six conversions runs once per row.
+    chunked = sized.withColumns({f"_c{i}": chunk for i, chunk in enumerate(word_chunks(F.col("_word")))})
+    chunks = [F.col(f"_c{i}") for i in range(6)]
+    return chunked.withColumns({
         "pool_address": F.lower("address"),
         "tx_hash": F.lower("tx_hash"),
         "side": F.when(F.col("_ok"), F.when(F.col("_bought"), F.lit("buy")).otherwise(F.lit("sell"))),
-        "quote_limbs": F.when(F.col("_ok"), magnitude_limbs(F.col("_word"), F.col("_negative"))),
+        "quote_limbs": F.when(F.col("_ok"), magnitude_limbs(chunks, F.col("_negative"))),
         "recipient": F.when(F.col("_ok"), word_address(topics[2])),
-    }).drop("_ok", "_first", "_out", "_signed", "_negative", "_bought", "_word")
+    }).drop("_ok", "_first", "_out", "_signed", "_negative", "_bought", "_word", *[f"_c{i}" for i in range(6)])
 
 
 def decode_swaps_v2(logs: DataFrame, quote_is_token0: Column) -> DataFrame:

@@ -70,16 +70,23 @@ class PoolGraph:
     """What the funding walk found: flagged edges per pool, component roots, and the bots' shared ball."""
 
     edges: DataFrame        # pool_address, creator, wallet, funder, position, is_public, hop
-    roots: DataFrame        # pool_address, node, root, has_creator, has_bot
+    members: DataFrame      # pool_address, creator, node, root: every wallet of the pool's graph
+    marks: DataFrame        # pool_address, root, has_creator, has_bot: the components that matter
     bot_edges: DataFrame    # wallet, funder, position, is_public (creator exemption not applied)
     bots: DataFrame         # address
 
+    def flags(self) -> DataFrame:
+        """(pool, node, root, has_creator, has_bot) of every member."""
+        rows = skew_join(self.members.select(POOL, "node", "root"), self.marks, [POOL, "root"], "left")
+        return rows.fillna(False, ["has_creator", "has_bot"])
+
 
 def _core(launches: DataFrame, traders: DataFrame) -> DataFrame:
-    """(pool, creator, wallet) for creators and traders."""
+    """Distinct (pool, creator, wallet) of creators and traders; traders are unique per pool already."""
     pools = launches.select(POOL, F.lower("creator").alias("creator"))
     trading = skew_join(traders.select(POOL, F.col("trader").alias("wallet")), pools, POOL)
-    return trading.select(POOL, "creator", "wallet").unionByName(pools.select(POOL, "creator", F.col("creator").alias("wallet")))
+    own = pools.select(POOL, "creator", F.col("creator").alias("wallet"))
+    return trading.filter("wallet <> creator").select(POOL, "creator", "wallet").unionByName(own)
 
 
 def _bot_ball(bots: DataFrame, edges: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
@@ -97,13 +104,13 @@ def _bot_ball(bots: DataFrame, edges: DataFrame, hops: int) -> tuple[DataFrame,
 
 
 def _bot_links(nodes: DataFrame, launches: DataFrame, ball: DataFrame, bot_roots: DataFrame) -> DataFrame:
-    """(pool, wallet, funder) links that stand for the bots' ball inside each pool.
+    """(pool, wallet, funder, has_bot) links that stand for the bots' ball inside each pool.
 
     A pool wallet that is in the ball links to its component's smallest address. A creator that is a
     public funder is private in its own pools: there it also joins the components it funded, of which
     only those the pool touches, the smallest one and one holding a bot can matter.
     """
-    links = skew_join(nodes, bot_roots.select(F.col("node").alias("wallet"), F.col("root").alias("funder")), "wallet")
+    links = skew_join(nodes, bot_roots.select(F.col("node").alias("wallet"), F.col("root").alias("funder"), "has_bot"), "wallet")
     opened = ball.filter("is_public").select(F.col("funder").alias("creator"), F.col("wallet").alias("node"))
     own_root = bot_roots.select("node", "root", "has_bot")
     # A funded wallet whose only edges are public has no component in the ball: it is its own root.
@@ -111,17 +118,15 @@ def _bot_links(nodes: DataFrame, launches: DataFrame, ball: DataFrame, bot_roots
         "creator", F.coalesce("root", "node").alias("root"), F.coalesce("has_bot", F.lit(False)).alias("has_bot")
     ).distinct(), "bot-pairs")
     pools = launches.select(POOL, F.lower("creator").alias("creator"))
+    bot_root = F.when(F.col("has_bot"), F.col("root"))
     anchors = pairs.groupBy("creator").agg(
-        F.array_distinct(F.array_compact(F.array(F.min("root"), F.min(F.when(F.col("has_bot"), F.col("root")))))).alias("_anchors")
+        F.array_distinct(F.array_compact(F.array(F.min("root"), F.min(bot_root)))).alias("_anchors"), F.max("has_bot").alias("has_bot")
     )
-    to_anchor = skew_join(pools, anchors, "creator").select(POOL, F.col("creator").alias("wallet"), F.explode("_anchors").alias("funder"))
-    touched = skew_join(
-        links.select(POOL, "creator", F.col("funder").alias("root")).distinct(), pairs.select("creator", "root"), ["creator", "root"]
-    ).select(POOL, F.col("creator").alias("wallet"), F.col("root").alias("funder"))
-    lone = skew_join(
-        nodes.select(POOL, "creator", F.col("wallet").alias("root")), pairs.select("creator", "root"), ["creator", "root"]
-    ).select(POOL, F.col("creator").alias("wallet"), F.col("root").alias("funder"))
-    return links.select(POOL, "wallet", "funder").unionByName(to_anchor).unionByName(touched).unionByName(lone)
+    columns = [POOL, F.col("creator").alias("wallet"), "funder", "has_bot"]
+    to_anchor = skew_join(pools, anchors, "creator").select(POOL, F.col("creator").alias("wallet"), F.explode("_anchors").alias("funder"), "has_bot")
+    met = links.select(POOL, "creator", "funder").unionByName(nodes.select(POOL, "creator", F.col("wallet").alias("funder")))
+    touched = skew_join(met.distinct(), pairs.select("creator", F.col("root").alias("funder"), "has_bot"), ["creator", "funder"]).select(*columns)
+    return links.select(POOL, "wallet", "funder", "has_bot").unionByName(to_anchor).unionByName(touched)
 
 
 def build_pool_graph(
@@ -131,31 +136,26 @@ def build_pool_graph(
     """Funding balls and private components of every pool. ``edges``: wallet, funder, position, ..."""
     bots = bots.select(F.lower("address").alias("address")).distinct()
     flagged = stage(flag_public(edges.select("wallet", "funder", "position"), bots, threshold, seeds), "edges-flagged")
-    walked = funding_walk(_core(launches, traders), flagged, [POOL, "creator"], hops, prune_public)
+    core = stage(_core(launches, traders), "pool-core")
+    walked = funding_walk(core, flagged, [POOL, "creator"], hops, prune_public)
     own_creator = F.col("funder") == F.col("creator")
     walked = walked.withColumn("is_public", F.col("is_public") & ~own_creator)
     ball, bot_roots = _bot_ball(bots, flagged, hops)
 
     private = walked.filter(~F.col("is_public")).select(POOL, "creator", "wallet", "funder")
     ends = private.select(POOL, "creator", "wallet").unionByName(private.select(POOL, "creator", F.col("funder").alias("wallet")))
-    nodes = stage(ends.unionByName(_core(launches, traders)).distinct(), "pool-nodes")
+    nodes = stage(ends.unionByName(core).distinct(), "pool-nodes")
     links = stage(_bot_links(nodes, launches, ball, bot_roots).distinct(), "bot-links")
-    joined = connected_components(private.select(POOL, "wallet", "funder").unionByName(links), [POOL])
-    roots = stage(joined, "pool-roots")
+    roots = connected_components(private.select(POOL, "wallet", "funder").unionByName(links.drop("has_bot")), [POOL])
 
     # Pool wallets outside every private edge are their own component.
-    everyone = nodes.select(POOL, "creator", F.col("wallet").alias("node")).join(roots, [POOL, "node"], "left").withColumn("root", F.coalesce("root", "node"))
-    everyone = stage(everyone, "pool-members")
-    creator_root = everyone.filter("node = creator").select(POOL, "root", F.lit(True).alias("has_creator"), F.lit(False).alias("has_bot"))
-    bot_nodes = bot_roots.filter("has_bot").select(F.col("root").alias("node")).distinct()
-    # Any component holding the smallest address of a bot component holds the bot.
-    placed = roots.unionByName(everyone.select(POOL, "node", "root"))
-    bot_root = skew_join(placed, bot_nodes, "node", "left_semi").select(POOL, "root").distinct().select(POOL, "root", F.lit(False).alias("has_creator"), F.lit(True).alias("has_bot"))
+    members = nodes.withColumnRenamed("wallet", "node").join(roots, [POOL, "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    members = stage(members, "pool-members")
+    creator_root = members.filter("node = creator").select(POOL, "root", F.lit(True).alias("has_creator"), F.lit(False).alias("has_bot"))
+    near_bots = links.filter("has_bot").select(POOL, F.col("wallet").alias("node")).distinct()
+    bot_root = members.join(near_bots, [POOL, "node"], "left_semi").select(POOL, "root", F.lit(False).alias("has_creator"), F.lit(True).alias("has_bot"))
     marks = creator_root.unionByName(bot_root).groupBy(POOL, "root").agg(F.max("has_creator").alias("has_creator"), F.max("has_bot").alias("has_bot"))
-    flags = skew_join(everyone.select(POOL, "node", "root"), marks, [POOL, "root"], "left").select(
-        POOL, "node", "root", F.coalesce("has_creator", F.lit(False)).alias("has_creator"), F.coalesce("has_bot", F.lit(False)).alias("has_bot")
-    )
-    return PoolGraph(walked, stage(flags, "pool-flags"), ball, bots)
+    return PoolGraph(walked, members, stage(marks, "pool-marks"), ball, bots)
 
 
 def classify_attendees(traders: DataFrame, launches: DataFrame, graph: PoolGraph) -> DataFrame:
@@ -163,22 +163,19 @@ def classify_attendees(traders: DataFrame, launches: DataFrame, graph: PoolGraph
     same-funder, linked, external.
 
     A shared funder only matters when it is private; the creator as a funder is covered by the
-    creator-funded rule.
+    creator-funded rule. One aggregation over the wallets' own edges gives all funder facts.
     """
     direct = graph.edges.filter("hop = 0")
-    shared = direct.filter("NOT is_public AND funder <> creator").select(POOL, "creator", "wallet", "funder")
-    creator_side = shared.filter("wallet = creator").select(POOL, "funder").distinct()
-    same = skew_join(shared, creator_side, [POOL, "funder"], "left_semi").select(POOL, "wallet").distinct()
-    by_creator = direct.filter("funder = creator").select(POOL, "wallet").distinct()
-    links = same.withColumns({"_same": F.lit(True), "_paid": F.lit(False)}).unionByName(
-        by_creator.withColumns({"_same": F.lit(False), "_paid": F.lit(True)})
-    ).groupBy(POOL, F.col("wallet").alias("trader")).agg(F.max("_same").alias("_same"), F.max("_paid").alias("_paid"))
-    primary = direct.groupBy(POOL, F.col("wallet").alias("trader")).agg(
-        F.min_by("funder", "position").alias("funding_source"), F.count("*").alias("funder_count")
+    creator_side = direct.filter("wallet = creator AND NOT is_public AND funder <> creator").select(POOL, "funder", F.lit(True).alias("_of_creator")).distinct()
+    facts = skew_join(direct, creator_side, [POOL, "funder"], "left").groupBy(POOL, F.col("wallet").alias("trader")).agg(
+        F.min_by("funder", "position").alias("funding_source"),
+        F.count("*").alias("funder_count"),
+        F.max(F.col("funder") == F.col("creator")).alias("_paid"),
+        F.max(F.coalesce("_of_creator", F.lit(False))).alias("_same"),
     )
     pools = launches.select(POOL, F.lower("creator").alias("creator"))
-    flags = graph.roots.withColumnRenamed("node", "trader")
-    rows = skew_join(traders, pools, POOL).join(flags, [POOL, "trader"]).join(links, [POOL, "trader"], "left").join(primary, [POOL, "trader"], "left")
+    flags = graph.flags().withColumnRenamed("node", "trader")
+    rows = skew_join(traders, pools, POOL).join(flags, [POOL, "trader"]).join(facts, [POOL, "trader"], "left")
     kind = (
         F.when(F.col("trader") == F.col("creator"), "creator")
         .when(F.col("has_bot"), "rug-bot")
@@ -196,7 +193,7 @@ def analysis_complete(launches: DataFrame, traders: DataFrame, bots: DataFrame,
     ``funded`` lists the recorded wallets (column address). The bots are checked once for all pools.
     """
     have = funded.select(F.col("address").alias("wallet"), F.lit(1).alias("_have"))
-    core = skew_join(_core(launches, traders).distinct(), have, "wallet", "left")
+    core = skew_join(_core(launches, traders), have, "wallet", "left")
     unknown_bots = bots.select(F.lower("address").alias("wallet")).join(have, "wallet", "left_anti").agg(F.count("*").alias("_missing_bots"))
     per_pool = core.groupBy(POOL).agg((F.count("*") == F.count("_have")).alias("_core_known"))
     # One-row table: a broadcast of a single count.
@@ -366,7 +363,7 @@ def attendee_graph(clustered: DataFrame, launches: DataFrame, graph: PoolGraph,
     edge_rows = drawn.select(POOL, F.col("address").alias("from_address"), F.col("funder").alias("to_address")).distinct()
 
     buyers = clustered.select(POOL, F.col("trader").alias("address"), "classification", "cluster_id", "quote_total")
-    flags = graph.roots.withColumnRenamed("node", "address")
+    flags = graph.flags().withColumnRenamed("node", "address")
     bots = graph.bots.withColumn("_bot", F.lit(True))
     known = included.join(buyers, [POOL, "address"], "left").join(flags, [POOL, "address"], "left").join(pools, POOL)
     known = skew_join(known, bots, "address", "left")

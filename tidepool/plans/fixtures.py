@@ -108,44 +108,51 @@ class Fixtures:
         latest = getattr(self, table).agg(F.max(col).cast("string")).head()[0]
         return F.lit(latest).cast("timestamp_ntz")
 
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Uses all cores when a table has fewer splits than there are cores (one file, one row group)."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def swap_logs(self) -> DataFrame:
         """Line items as raw hex swap logs of the three exchanges (supplier = pool, part = trader).
 
         The quote amount is cents x 2^64, so that it needs more than 64 bits; even pools have the quote
         token first. Lines of quantity 50 are cut short and cannot be decoded.
         """
-        cents = F.round(F.col("l_extendedprice") * 100).cast("long")
         zero = F.lit("0" * 64)
-        plain = F.lpad(F.concat(F.hex(cents), F.lit("0" * 16)), 64, "0")
-        negative = F.when(cents == 0, zero).otherwise(F.concat(F.lit("f" * 32), F.hex(-cents), F.lit("0" * 16)))
-        buy, first = F.col("l_linestatus") == "O", F.col("l_suppkey") % 2 == 0
-        paid_in, paid_out = F.when(buy, plain).otherwise(zero), F.when(buy, zero).otherwise(plain)
-        v2 = F.concat(
-            F.when(first, paid_in).otherwise(zero), F.when(first, zero).otherwise(paid_in),
-            F.when(first, paid_out).otherwise(zero), F.when(first, zero).otherwise(paid_out),
+        rows = self._spread(self.lineitem).withColumns({
+            "cents": F.round(F.col("l_extendedprice") * 100).cast("long"), "buy": F.col("l_linestatus") == "O",
+            "quote_is_token0": F.col("l_suppkey") % 2 == 0, "kind": F.col("l_suppkey") % 3,
+        })
+        signed_sell = (F.col("kind") == 2) & ~F.col("buy") & (F.col("cents") != 0)
+        top = F.when(signed_sell, F.lit("f" * 32)).otherwise(F.lit("0" * 32))
+        digits = F.lpad(F.lower(F.hex(F.when(signed_sell, -F.col("cents")).otherwise(F.col("cents")))), 16, "0")
+        rows = rows.withColumn("amount", F.concat(top, digits, F.lit("0" * 16)))
+        # Where the amount goes: its word index among the event's words.
+        slot = F.when(F.col("quote_is_token0"), 0).otherwise(1) + F.when((F.col("kind") != 2) & ~F.col("buy"), 2).otherwise(0)
+        rows = rows.withColumns({"slot": slot, "words": F.when(F.col("kind") == 2, 5).otherwise(4)})
+        data = F.concat(
+            F.lit("0x"), F.repeat(zero, F.col("slot")), F.col("amount"), F.repeat(zero, F.col("words") - F.col("slot") - 1)
         )
-        signed = F.when(buy, plain).otherwise(negative)
-        v3 = F.concat(F.when(first, signed).otherwise(zero), F.when(first, zero).otherwise(signed), zero, zero, zero)
-        kind = F.col("l_suppkey") % 3
-        data = F.concat(F.lit("0x"), F.lower(F.when(kind == 2, v3).otherwise(v2)))
-        topic = F.when(kind == 0, SWAP_V2).when(kind == 1, SWAP_AERODROME).otherwise(SWAP_V3)
+        rows = rows.withColumn("data", data)
+        topic = F.when(F.col("kind") == 0, SWAP_V2).when(F.col("kind") == 1, SWAP_AERODROME).otherwise(SWAP_V3)
 
         def padded(key, width):
             return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(key)), width, "0"))
 
-        return self.lineitem.select(
+        return rows.select(
             padded(F.col("l_suppkey"), 40).alias("address"),
             F.array(topic, padded(F.col("l_orderkey"), 64), padded(F.col("l_partkey"), 64)).alias("topics"),
-            F.when(F.col("l_quantity") == 50, F.substring(data, 1, 100)).otherwise(data).alias("data"),
+            F.when(F.col("l_quantity") == 50, F.substring("data", 1, 100)).otherwise(F.col("data")).alias("data"),
             F.col("l_orderkey").alias("block_number"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("time_stamp"),
             padded(F.col("l_orderkey"), 64).alias("tx_hash"), F.col("l_linenumber").cast("long").alias("log_index"),
-            first.alias("quote_is_token0"),
+            "quote_is_token0",
         )
 
     def creation_logs(self) -> DataFrame:
         """Orders as raw pool-creation logs of the three exchanges (order = pool, customer = token)."""
         tokens = self.f_pool_tokens
-        keyed = self.orders.withColumn("pool_address", F.concat(F.lit("p"), F.col("o_orderkey"))).join(tokens, "pool_address")
+        keyed = self._spread(self.orders).withColumn("pool_address", F.concat(F.lit("p"), F.col("o_orderkey"))).join(tokens, "pool_address")
 
         def word(value):
             return F.lpad(F.lower(value), 64, "0")
