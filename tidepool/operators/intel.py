@@ -76,8 +76,8 @@ class PoolGraph:
     bots: DataFrame         # address
 
     def flags(self) -> DataFrame:
-        """(pool, node, root, has_creator, has_bot) of every member."""
-        rows = skew_join(self.members.select(POOL, "node", "root"), self.marks, [POOL, "root"], "left")
+        """(pool, creator, node, root, has_creator, has_bot) of every member."""
+        rows = skew_join(self.members, self.marks, [POOL, "root"], "left")
         return rows.fillna(False, ["has_creator", "has_bot"])
 
 
@@ -158,7 +158,7 @@ def build_pool_graph(
     return PoolGraph(walked, members, stage(marks, "pool-marks"), ball, bots)
 
 
-def classify_attendees(traders: DataFrame, launches: DataFrame, graph: PoolGraph) -> DataFrame:
+def classify_attendees(traders: DataFrame, graph: PoolGraph) -> DataFrame:
     """Traders with ``classification``: the first rule that holds of creator, rug-bot, creator-funded,
     same-funder, linked, external.
 
@@ -173,9 +173,8 @@ def classify_attendees(traders: DataFrame, launches: DataFrame, graph: PoolGraph
         F.max(F.col("funder") == F.col("creator")).alias("_paid"),
         F.max(F.coalesce("_of_creator", F.lit(False))).alias("_same"),
     )
-    pools = launches.select(POOL, F.lower("creator").alias("creator"))
     flags = graph.flags().withColumnRenamed("node", "trader")
-    rows = skew_join(traders, pools, POOL).join(flags, [POOL, "trader"]).join(facts, [POOL, "trader"], "left")
+    rows = traders.join(flags, [POOL, "trader"]).join(facts, [POOL, "trader"], "left")
     kind = (
         F.when(F.col("trader") == F.col("creator"), "creator")
         .when(F.col("has_bot"), "rug-bot")
@@ -363,7 +362,7 @@ def attendee_graph(clustered: DataFrame, launches: DataFrame, graph: PoolGraph,
     edge_rows = drawn.select(POOL, F.col("address").alias("from_address"), F.col("funder").alias("to_address")).distinct()
 
     buyers = clustered.select(POOL, F.col("trader").alias("address"), "classification", "cluster_id", "quote_total")
-    flags = graph.flags().withColumnRenamed("node", "address")
+    flags = graph.flags().drop("creator").withColumnRenamed("node", "address")
     bots = graph.bots.withColumn("_bot", F.lit(True))
     known = included.join(buyers, [POOL, "address"], "left").join(flags, [POOL, "address"], "left").join(pools, POOL)
     known = skew_join(known, bots, "address", "left")

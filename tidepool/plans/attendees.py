@@ -29,7 +29,7 @@ def analyse(launches: DataFrame, traders: DataFrame, edges: DataFrame, labels: D
     traders = stage(traders, "traders")
     bots = labels.filter("kind = 'rug-bot'").select("address")
     graph = ops.build_pool_graph(launches, traders, edges, bots, threshold=threshold, seeds=seeds, prune_public=prune_public)
-    classified = stage(ops.classify_attendees(traders, launches, graph), "classified")
+    classified = stage(ops.classify_attendees(traders, graph), "classified")
     return Analysis(launches, traders, graph, classified)
 
 

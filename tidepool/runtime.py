@@ -105,9 +105,11 @@ def plan_bytes(df: DataFrame) -> int:
 def skew_join(facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "inner", fact_rows: int | None = None, sliced: bool = False) -> DataFrame:
     """Join ``facts`` to ``dim`` when some keys may hold a large share of all facts.
 
-    A dimension below the broadcast threshold, or a fact table that is smaller than one hot key,
-    needs nothing special. Otherwise the keys with more than ``hot_rows`` fact rows (at most
-    rows/hot_rows of them, so the key list is safe to broadcast) are joined apart:
+    Nothing special is needed when Spark will broadcast the dimension or when the facts are fewer than
+    one hot key. Otherwise one pass over the fact keys (pre-aggregated on the map side) lists the keys
+    with more than ``hot_rows`` facts. That list has at most rows/hot_rows entries, so it is safe to
+    broadcast; it is usually empty, and then this is a plain shuffle join. If not, the facts are staged
+    once and the hot ones joined apart:
 
     - ``dim`` has at most a few rows per key (the default): the hot keys' dimension rows are
       broadcast and the hot facts are never shuffled;
@@ -117,9 +119,16 @@ def skew_join(facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str =
     on = [on] if isinstance(on, str) else list(on)
     spark = facts.sparkSession
     limit = hot_rows(spark)
+    if fact_rows is None and plan_bytes(facts) <= limit:  # not even one byte per row of a hot key
+        fact_rows = limit
     if (fact_rows is not None and fact_rows <= limit) or plan_bytes(dim) <= broadcast_limit(spark):
         return facts.join(dim, on, how)
-    sizes = facts.groupBy(*on).agg(F.ceil(F.count("*") / F.lit(limit)).alias("_slices")).filter("_slices > 1")
+    counted = facts.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("_slices")).filter("_slices > 1")
+    listed = stage_table(counted, "hot-keys", keys=F.count(F.lit(1)))
+    if not listed.metrics["keys"]:
+        listed.drop()
+        return facts.join(dim, on, how)
+    sizes, facts = listed.df, stage(facts, "hot-facts")
     hot = sizes.select(*on)
     shuffled = facts.join(F.broadcast(hot), on, "left_anti").join(dim, on, how)
     if sliced:
