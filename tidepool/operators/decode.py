@@ -120,7 +120,8 @@ def pool_quote_fallback(launches: DataFrame, decoded: DataFrame, quotes: DataFra
 def _with_token_dim(df: DataFrame, tokens: DataFrame, col: str) -> DataFrame:
     """Token symbol/decimals for addresses that are no known quote (those keep a private key)."""
     dim = tokens.select(F.lower("address").alias("_key"), F.col("symbol").alias("_symbol"), F.col("decimals").alias("_decimals"))
-    private = F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string"))
+    # A function of the row, so that a recomputed task routes it to the same place.
+    private = F.concat(F.lit("~"), F.xxhash64(*[F.col(c) for c in df.columns]).cast("string"))
     key = F.when(F.col(f"{col}_symbol").isNull() & F.col(col).isNotNull(), F.lower(col)).otherwise(private)
     return skew_join(df.withColumn("_key", key), dim, "_key", "left").drop("_key")
 

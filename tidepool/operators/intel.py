@@ -193,10 +193,8 @@ def analysis_complete(launches: DataFrame, traders: DataFrame, bots: DataFrame,
     """
     have = funded.select(F.col("address").alias("wallet"), F.lit(1).alias("_have"))
     core = skew_join(_core(launches, traders), have, "wallet", "left")
-    unknown_bots = bots.select(F.lower("address").alias("wallet")).join(have, "wallet", "left_anti").agg(F.count("*").alias("_missing_bots"))
-    per_pool = core.groupBy(POOL).agg((F.count("*") == F.count("_have")).alias("_core_known"))
-    # One-row table: a broadcast of a single count.
-    return per_pool.join(F.broadcast(unknown_bots), F.lit(True)).select(POOL, (F.col("_core_known") & (F.col("_missing_bots") == 0)).alias("complete"))
+    missing_bots = bots.select(F.lower("address").alias("wallet")).join(have, "wallet", "left_anti").count()
+    return core.groupBy(POOL).agg((F.count("*") == F.count("_have")).alias("_core")).select(POOL, (F.col("_core") & F.lit(missing_bots == 0)).alias("complete"))
 
 
 def insider_cluster(classified: DataFrame) -> DataFrame:

@@ -102,6 +102,11 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def _only_scans(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(step in plan for step in ("Join", "Aggregate", "Window", "Generate", "Union", "Repartition", "Sort", "Distinct"))
+
+
 def skew_join(facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "inner", fact_rows: int | None = None, sliced: bool = False) -> DataFrame:
     """Join ``facts`` to ``dim`` when some keys may hold a large share of all facts.
 
@@ -109,7 +114,8 @@ def skew_join(facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str =
     one hot key. Otherwise one pass over the fact keys (pre-aggregated on the map side) lists the keys
     with more than ``hot_rows`` facts. That list has at most rows/hot_rows entries, so it is safe to
     broadcast; it is usually empty, and then this is a plain shuffle join. If not, the facts are staged
-    once and the hot ones joined apart:
+    once (unless they are a mere filtered scan, which is cheaper to read twice than to write) and the
+    hot ones joined apart:
 
     - ``dim`` has at most a few rows per key (the default): the hot keys' dimension rows are
       broadcast and the hot facts are never shuffled;
@@ -128,7 +134,9 @@ def skew_join(facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str =
     if not listed.metrics["keys"]:
         listed.drop()
         return facts.join(dim, on, how)
-    sizes, facts = listed.df, stage(facts, "hot-facts")
+    sizes = listed.df
+    if not _only_scans(facts):
+        facts = stage(facts, "hot-facts")
     hot = sizes.select(*on)
     shuffled = facts.join(F.broadcast(hot), on, "left_anti").join(dim, on, how)
     if sliced:
