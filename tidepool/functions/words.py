@@ -7,8 +7,6 @@ brings a summed array back to canonical limbs when it has to be compared or prin
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -121,8 +119,3 @@ def units_text(hex_digits: pd.Series, decimals: pd.Series) -> pd.Series:
         return f"{whole}.{fraction or '0'}" if places else str(whole)
 
     return pd.Series([one(h, d) for h, d in zip(hex_digits, decimals)], dtype=object)
-
-
-def decimal_units(raw: str, decimals: int) -> Decimal:
-    """Driver-side twin of ``units_text`` for tests and literals."""
-    return Decimal(raw) / (Decimal(10) ** decimals)

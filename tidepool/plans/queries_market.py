@@ -195,9 +195,6 @@ query("quote_x_price", f"{_PRICES} SELECT pool_address, price_usd FROM f_pools L
 
 # ---- swaps of a window, volume, liquidity
 
-_TIP = 43_200
-
-
 def _window(fx: Fixtures):
     """All swaps since each pool's launch: the tip is the newest block, the window spans the chain."""
     return market.pools_x_swaps(fx.f_pools.select("pool_address", "block_number"), fx.f_swaps.drop("creator"), 10**12, 10**12)

@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.functions.words import word_address
 from tidepool.schemas import QUOTE_TOKENS
 
 # Token addresses, symbols and decimals.
@@ -119,6 +118,3 @@ def is_known_quote(df: DataFrame, quotes: DataFrame, col: str) -> DataFrame:
 def is_quote_token0(quote: Column, token: Column) -> Column:
     """Fixed-width lower-case hex orders like the numbers it spells."""
     return F.lower(quote) < F.lower(token)
-
-
-__all__ = ["DEXES", "DexSpec", "dex_by_id", "dex_catalog", "quote_dim", "quote_token", "is_known_quote", "is_quote_token0", "word_address"]
