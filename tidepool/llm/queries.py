@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import chat, mixing, secrets, sharding
+from tidepool.llm import chat, decontaminate, language, mixing, quality, secrets, sharding
 from tidepool.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,11 +26,32 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a benchmark item covers; ``longest_match`` in words."""
+    found = decontaminate.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct("_found.items"))
+    return found.select(
+        "doc_id", F.col("_found.n_words").alias("n_words"), decontaminate.covered(F.col("_found.hits")).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("_found.hits") > 0).alias("contaminated"), F.coalesce(F.array_max(F.transform("_found.matches", lambda m: m["length"])), F.lit(0)).alias("longest_match"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document, and when."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation from every participant's side; masks as start:end, comma-joined."""
     seen = chat.perspectives(table(spark, sf_dir, "conversations"))
@@ -38,5 +59,5 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.withColumn("masks", masks)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op8_mixing, op10_chat_rotation)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op4_quality, op7_decontamination, op8_mixing, op9_language, op10_chat_rotation)}
 ORACLES: dict[str, str] = {}
