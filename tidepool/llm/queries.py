@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import chat, decontaminate, jaccard, language, mixing, quality, secrets, sharding
+from tidepool.llm import chat, decontaminate, jaccard, language, mixing, quality, secrets, sharding, suffix_dedup
 from tidepool.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 100 bytes from earlier on."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a benchmark item covers; ``longest_match`` in words."""
     found = decontaminate.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -64,5 +69,5 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.withColumn("masks", masks)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op4_quality, op5_jaccard_join, op7_decontamination, op8_mixing, op9_language, op10_chat_rotation)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op4_quality, op5_jaccard_join, op6_suffix_dedup, op7_decontamination, op8_mixing, op9_language, op10_chat_rotation)}
 ORACLES: dict[str, str] = {}
