@@ -95,3 +95,12 @@ def mix(
         F.round((taken[0] + taken[1]) / F.greatest(F.col("size"), F.lit(1))).cast("int").alias("passes"),
         due[0].alias("position"), due[1].alias("second_position"),
     ).orderBy("position", "doc_id")
+
+
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
+    """The rows of ``docs``, each as often as its ``passes``. Rows alike in id, text and source share their passes evenly."""
+    keyed = docs.withColumn("_row", F.xxhash64(doc_id, text, source))
+    rows = keyed.select(F.col("_row").alias("_id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    taken = mix(rows, "_id", **settings).groupBy(F.col("doc_id").alias("_row")).agg(F.round(F.avg("passes")).cast("int").alias("_passes"))
+    due = keyed.join(taken.filter("_passes > 0"), "_row")
+    return due.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*docs.columns)

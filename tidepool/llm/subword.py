@@ -196,15 +196,15 @@ def train(labelled: DataFrame, text: str, label: str, order: list[str], lower: b
 
 
 def score(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``rows`` with ``_probabilities`` (array, in the order of ``model.classes``) in place of ``text``."""
+    """``rows`` with one more column, ``_probabilities`` (array, in the order of ``model.classes``)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # 2**BUCKETS_LOG2 floats per class
-    kept = rows.drop(text).schema.fields
+    names = [*rows.columns, "_probabilities"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 p = shared.value.probabilities(part.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(list(p), pa.list_(pa.float64()))], names=[*[f.name for f in kept], "_probabilities"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(p), pa.list_(pa.float64()))], names=names)
 
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("_probabilities", T.ArrayType(T.DoubleType()))]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_probabilities", T.ArrayType(T.DoubleType()))]))
