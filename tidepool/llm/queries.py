@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import chat, decontaminate, jaccard, language, mixing, quality, secrets, sharding, suffix_dedup
+from tidepool.llm import chat, decontaminate, jaccard, language, mixing, neighbours, quality, secrets, sharding, suffix_dedup
 from tidepool.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every row whose vec_id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.filter(F.col("vec_id") % 20 == 0), 20)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -69,5 +75,5 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.withColumn("masks", masks)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op4_quality, op5_jaccard_join, op6_suffix_dedup, op7_decontamination, op8_mixing, op9_language, op10_chat_rotation)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_neighbours, op4_quality, op5_jaccard_join, op6_suffix_dedup, op7_decontamination, op8_mixing, op9_language, op10_chat_rotation)}
 ORACLES: dict[str, str] = {}
