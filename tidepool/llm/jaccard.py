@@ -5,11 +5,13 @@
 2. Prefix rule: two sets within the threshold share one of their first ``n - ceil(t n) + 1`` shingles in any order
    common to all. The order here is by hash, common ones last, so shared passages seldom make candidates. Sets that
    share a prefix shingle form a group; groups of equal members are one.
-3. First pass: in every group each set is held against the group's smallest set. Links found so far give components.
-4. Second pass: groups that still hold several components are cut into tiles of one size band (and blocks of a band),
-   in which every two sets of different components are compared by bitmaps: a bit of A that B has not is at least one
-   shingle of A that B has not, so ``|A| - bits(A and not B)`` bounds the overlap from above. What passes is
-   intersected exactly. Sets already connected are not compared again, so a huge group of near copies stays linear.
+3. First pass: in every group each set is held against the group's smallest set by bitmaps. What passes gives
+   tentative components.
+4. Second pass: groups that hold several of them are cut into tiles of one size band (and blocks of a band), in which
+   every two sets of different components are compared by bitmaps: a bit of A that B has not is at least one shingle
+   of A that B has not, so ``|A| - bits(A and not B)`` bounds the overlap from above.
+5. All pairs that passed are intersected exactly. Where that parts a tentative component, its own pairs go through
+   tiles too. Sets already connected are not compared again, so a huge group of near copies stays linear.
 
 Nothing is capped: common shingles only change the order, and large groups only get more tiles.
 
@@ -200,22 +202,21 @@ def _may_link(na: int, nb: int, ba: bytes, bb: bytes, percent: int) -> bool:
     return 100 * shared >= percent * (na + nb - shared)
 
 
-def _tile_pairs(groups: DataFrame, sizes: DataFrame, root: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a group and pass the bitmap bound."""
-    rows = groups.select("gid", "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+def _tile_pairs(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different roots that share a group and pass the bitmap bound. ``rows``: gid, sid, root."""
     mixed_groups = rows.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gid")
-    rows = rows.join(mixed_groups, "gid").join(sizes, "sid")
+    rows = rows.join(mixed_groups, "gid").join(sizes.select("sid", "n"), "sid")
     # Sets within the threshold lie in one band or in neighbouring ones.
-    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int"))
-    home = rows.withColumn("tile", F.col("band")).withColumn("home", F.lit(True))
-    visit = rows.withColumn("tile", F.col("band") - 1).withColumn("home", F.lit(False))
-    placed = home.unionByName(visit)
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    sides = F.array(F.struct(band.alias("tile"), F.lit(True).alias("home")), F.struct((band - 1).alias("tile"), F.lit(False).alias("home")))
+    placed = stage(rows.select("gid", "sid", "root", F.explode(sides).alias("at")).select("gid", "sid", "root", "at.tile", "at.home"), "jaccard-places")
     counts = placed.groupBy("gid", "tile").agg(F.count("*").alias("n_all"), F.sum(F.col("home").cast("int")).alias("n_home"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     counts = counts.filter("n_home > 0 AND n_all > 1 AND lo <> hi").select("gid", "tile", F.ceil(F.col("n_all") / BLOCK).cast("int").alias("blocks"))
     placed = placed.join(counts, ["gid", "tile"])
     block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
-    placed = placed.withColumn("at", F.explode(every)).select("gid", "tile", "at.i", "at.j", "home", (block == F.col("at.i")).alias("left"), "sid", "root", "n", "bits")
+    placed = placed.withColumn("at", F.explode(every)).select("gid", "tile", "at.i", "at.j", "home", (block == F.col("at.i")).alias("left"), "sid", "root")
+    placed = placed.join(sizes, "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _runs(batches, ["gid", "tile", "i", "j"]):
@@ -307,16 +308,23 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     full = sketch.filter("n > 0")
     sizes = full.filter("bits IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     groups = _groups(sketch)
-    wanted = groups.select("sid").distinct().join(full.groupBy("sid").agg(F.min("_row").alias("_row")), "sid")
-    texts = stage(rows.select("_row", "text").join(wanted, "_row").select("sid", "text").dropDuplicates(["sid"]), "jaccard-texts")
     sizes = stage(sizes.join(groups.select("sid").distinct(), "sid"), "jaccard-sizes")
 
     stars = groups.filter("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    first = stage(_verified(_bound(stars, sizes, percent), texts, words, percent), "jaccard-links")
-    root = components(first).withColumnRenamed("node", "sid")
-    root = stage(root, "jaccard-roots")
-    second = stage(_verified(_tile_pairs(groups, sizes, root, percent), texts, words, percent), "jaccard-links")
-    final = components(first.unionByName(second)).withColumnRenamed("node", "sid")
+    near = stage(_bound(stars, sizes, percent), "jaccard-near")
+    tentative = stage(components(near).select(F.col("node").alias("sid"), F.col("root").alias("guess")), "jaccard-guess")
+    guessed = groups.select("gid", "sid").join(tentative, "sid", "left")
+    across = stage(_tile_pairs(guessed.select("gid", "sid", F.coalesce("guess", "sid").alias("root")), sizes, percent), "jaccard-across")
+    pairs = near.unionByName(across)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(full.groupBy("sid").agg(F.min("_row").alias("_row")), "sid")
+    texts = stage(rows.select("_row", "text").join(wanted.hint("merge"), "_row").select("sid", "text").dropDuplicates(["sid"]), "jaccard-texts")
+    links = stage(_verified(pairs, texts, words, percent), "jaccard-links")
+
+    # Pairs left out because both seemed connected, where the links do not connect them.
+    root = stage(components(links).withColumnRenamed("node", "sid"), "jaccard-roots")
+    inside = guessed.filter("guess IS NOT NULL").join(root, "sid", "left").select(F.xxhash64("gid", "guess").alias("gid"), "sid", F.coalesce("root", "sid").alias("root"))
+    more = stage(_verified(_tile_pairs(inside, sizes, percent), texts, words, percent), "jaccard-links")
+    final = components(links.unionByName(more)).withColumnRenamed("node", "sid")
 
     ids = full.groupBy("sid").agg(F.min("doc_id").alias("least")).join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
