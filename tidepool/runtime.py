@@ -74,7 +74,7 @@ def stage_table(df: DataFrame, name: str, **metrics: Column) -> Staged:
     path = f"{stage_root(spark)}/tidepool/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     watch = Observation() if metrics else None
     watched = df.observe(watch, *[metric.alias(key) for key, metric in metrics.items()]) if metrics else df
-    watched.write.parquet(path)
+    watched.write.option("compression", "zstd").parquet(path)
     return Staged(spark.read.schema(df.schema).parquet(path), path, watch.get if metrics else {})
 
 
