@@ -34,7 +34,7 @@ LENGTH = 100
 GRAM = 40
 REACH = LENGTH - GRAM  # a window starts at most so far before its anchor
 RUN = 1 << 17  # suffixes of a run
-RANGE = 1 << 18  # suffixes of a range, about
+RANGE = 1 << 16  # suffixes of a range, about
 RANGES = 1 << 14
 LOW = (1 << 24) - 1
 WIDTH = LENGTH + 1 + REACH + 1  # right context, its length, left context (backwards), its length
@@ -292,7 +292,7 @@ def _spans(suspects: DataFrame, total: int) -> DataFrame:
             yield from _merged(blocks)
 
     shipped = suspects.mapInArrow(make_runs, "range int, block binary, doc_id array<long>, th array<long>, start array<long>, end array<long>")
-    return shipped.repartition("range").sortWithinPartitions("range").mapInArrow(merge, "doc_id long, th long, start long, end long")
+    return shipped.repartitionById(ranges, F.col("range")).sortWithinPartitions("range").mapInArrow(merge, "doc_id long, th long, start long, end long")
 
 
 def _ship(held: list[tuple[np.ndarray, np.ndarray]], splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
