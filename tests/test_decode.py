@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 from tidepool.functions.text import fee_label
 from tidepool.functions.words import format_units_limbs, i256_abs, limbs_hex, sum_u256, u256_limbs, units_text
 from tidepool.operators import decode
+from tidepool.operators.upsert import upsert_launches
 from tidepool.sources.dex import AERO, DEXES, SWAP_AERODROME, SWAP_V2, SWAP_V3, USDC, WETH, dex_by_id, is_quote_token0, quote_dim, quote_token
+from tidepool.sources.logs import scan_logs
 
 TOP = 2**256
 
@@ -143,3 +145,29 @@ def test_trader_is_signer_then_recipient(spark):
     swaps = spark.createDataFrame([("0xA", "R1"), ("0xB", "R2"), ("0xC", None)], "tx_hash STRING, recipient STRING")
     transactions = spark.createDataFrame([("0xa", "S1")], "hash STRING, `from` STRING")
     assert {(r["tx_hash"], r["trader"]) for r in decode.resolve_traders(swaps, transactions).collect()} == {("0xA", "s1"), ("0xB", "r2")}
+
+
+def test_logs_of_any_shape_are_passed_over(spark):
+    """Anonymous events, missing topics and data must not end a job."""
+    odd = [(address(7), t, d, 1, 1, "0xh", i) for i, (t, d) in enumerate([([], "0x"), (None, None), ([SWAP_V2], None), ([SWAP_V3, topic(1)], "0x"), ([DEXES[0].launch_topic], "0x"), ([None], "")])]
+    logs = spark.createDataFrame([*odd, (*swap_log(SWAP_V2, [5, 0, 0, 7])[:6], 99)], LOG)
+    assert [r["log_index"] for r in decode.decode_swaps_v2(logs, F.lit(True)).collect()] == [99]
+    assert decode.decode_swaps_v3(logs, F.lit(True)).count() == 0
+    assert decode.decode_launches(logs).count() == 0
+    assert scan_logs(logs, None, SWAP_V2, 0).count() == 2
+    assert decode.tag_swaps(logs, F.lit(True)).count() == 7
+
+
+def test_pools_of_two_known_quotes_look_up_both_creations(spark):
+    """WETH created at block 900, USDC at 100: WETH is the token."""
+    decoded_pools = spark.createDataFrame([("p", "aerodrome", WETH, USDC), ("q", "aerodrome", address(5), USDC)], "pool_address STRING, dex STRING, token0 STRING, token1 STRING")
+    made = spark.createDataFrame([(WETH, 900), (USDC, 100)], "address STRING, created_block BIGINT")
+    got = {r["pool_address"]: (r["token_address"], r["quote_address"]) for r in decode.resolve_token_side(decoded_pools, quote_dim(spark), made).collect()}
+    assert got == {"p": (WETH, USDC), "q": (address(5), USDC)}
+
+
+def test_upsert_takes_the_last_log_of_a_pool(spark):
+    launches = spark.createDataFrame([("p", "old", 0, 0)], "pool_address STRING, pair STRING, block_number BIGINT, log_index BIGINT")
+    updates = spark.createDataFrame([("p", f"pair{(i * 7) % 10}", i // 4, i % 4) for i in range(8)], launches.schema)
+    for parts in (1, 3, 8):
+        assert [r["pair"] for r in upsert_launches(launches, updates.repartition(parts)).collect()] == ["pair9"]

@@ -23,6 +23,15 @@ def test_skew_join_equals_plain_join(skewed):
     assert rows(skew_join(facts, dim, "k", sliced=True)) == rows(facts.join(dim, "k"))
 
 
+def test_many_null_keys_pass_by_the_join(skewed):
+    facts = skewed.createDataFrame([(None, i) for i in range(50)] + [("a", 1), ("b", 2)], "k STRING, v INT")
+    dim = skewed.createDataFrame([("a", 3), (None, 4)], "k STRING, d INT")
+    for how in ("inner", "left", "left_anti"):
+        assert rows(skew_join(facts, dim, "k", how)) == rows(facts.join(dim, "k", how)), how
+    plan = skew_join(facts, dim, "k", "left")._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(k" in plan and "isnull(k" in plan
+
+
 def test_hot_facts_are_not_shuffled_with_the_rest(skewed):
     facts = skewed_facts(skewed)
     dim = skewed.createDataFrame([("hot", 1)], "k STRING, d INT")

@@ -14,7 +14,7 @@ from tidepool.sources.dex import DEXES, POOL_CREATED_FEE, POOL_CREATED_STABLE, S
 def decode_launches(logs: DataFrame, specs: list[DexSpec] | DexSpec | None = None) -> DataFrame:
     """Pool-creation logs of the given exchanges (all by default) in one pass over the log table."""
     specs = DEXES if specs is None else [specs] if isinstance(specs, DexSpec) else specs
-    topics, data = F.col("topics"), F.col("data")
+    topics, data = [F.get("topics", F.lit(i)) for i in range(4)], F.col("data")
     dex = F.lit(None).cast("string")
     for spec in specs:
         dex = F.when((F.lower("address") == spec.factory) & (topics[0] == spec.launch_topic), F.lit(spec.id)).otherwise(dex)
@@ -40,9 +40,9 @@ def tag_swaps(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
     The quote token's own words are words 0/2 when it is token0, else 1/3. Constant-product swaps hold
     amount-in then amount-out, signed-delta swaps a single signed amount, so the first word serves both.
     """
-    topics, data = F.col("topics"), F.col("data")
+    topics, data = [F.get("topics", F.lit(i)) for i in range(3)], F.col("data")
     signed = topics[0] == SWAP_V3
-    usable = topics[0].isin(SWAP_V2, SWAP_AERODROME, SWAP_V3) & (F.size(topics) >= 3) & (
+    usable = topics[0].isin(SWAP_V2, SWAP_AERODROME, SWAP_V3) & (F.size("topics") >= 3) & (
         F.length(data) >= F.when(signed, 2 + 5 * 64).otherwise(2 + 4 * 64)
     )
     at = F.when(quote_is_token0, 3).otherwise(3 + 64)
@@ -71,28 +71,28 @@ def tag_swaps(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
 
 def decode_swaps_v2(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
     """Constant-product swaps: quote paid in is a buy, otherwise a sell of the amount paid out."""
-    wanted = logs.filter(F.col("topics")[0].isin(SWAP_V2, SWAP_AERODROME))
+    wanted = logs.filter(F.get("topics", F.lit(0)).isin(SWAP_V2, SWAP_AERODROME))
     return tag_swaps(wanted, quote_is_token0).filter("side IS NOT NULL")
 
 
 def decode_swaps_v3(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
     """Signed-delta swaps: a positive quote delta is a buy, anything else (zero too) a sell."""
-    return tag_swaps(logs.filter(F.col("topics")[0] == SWAP_V3), quote_is_token0).filter("side IS NOT NULL")
+    return tag_swaps(logs.filter(F.get("topics", F.lit(0)) == SWAP_V3), quote_is_token0).filter("side IS NOT NULL")
 
 
 def resolve_token_side(decoded: DataFrame, quotes: DataFrame, creations: DataFrame) -> DataFrame:
     """Adds token_address and quote_address.
 
     Exactly one known quote decides. Otherwise the later-created side is the token (unknown creation
-    counts as block -1, a tie goes to token1). Rows that a known quote already decides get a private
-    join key, so popular quote tokens never pile up on one task.
+    counts as block -1, a tie goes to token1); that holds for pools of two known quotes too. Rows that
+    one known quote decides need no look-up and get a private join key.
     """
     tagged = is_known_quote(is_known_quote(decoded, quotes, "token0"), quotes, "token1")
     open_row = F.col("token0_is_quote") == F.col("token1_is_quote")
     private = F.concat(F.lit("~"), F.col("pool_address"))
 
     def with_block(df: DataFrame, side: str) -> DataFrame:
-        keyed = df.withColumn("_key", F.when(open_row & ~F.col(f"{side}_is_quote"), F.lower(side)).otherwise(private))
+        keyed = df.withColumn("_key", F.when(open_row, F.lower(side)).otherwise(private))
         dim = creations.select(F.col("address").alias("_key"), F.col("created_block").alias(f"_{side}_block"))
         return skew_join(keyed, dim, "_key", "left").drop("_key")
 
@@ -161,8 +161,6 @@ def build_launches(
     senders = transactions.select(F.lower("hash").alias("tx_hash"), F.lower("from").alias("_sender"))
     rows = rows.join(senders, "tx_hash", "left")
     made = creations.select(F.col("address").alias("token_address"), F.col("created_at").alias("token_created_at"), F.col("created_block").alias("token_created_block"))
-    known = [address for address, _, _ in {q for spec in DEXES for q in spec.quotes}]
-    made = made.filter(~F.col("token_address").isin(known))
     rows = skew_join(rows, made, "token_address", "left")
     rows = token_symbol(rows, quotes, tokens, "token_address", "token_symbol")
     rows = token_symbol(rows, quotes, tokens, "quote_address", "quote_symbol")

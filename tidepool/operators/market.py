@@ -35,6 +35,7 @@ def quote_price(observations: DataFrame, as_of: Column | None = None, ttl_s: flo
     prices count. One aggregation: the latest observation of each feed is a max_by.
     """
     seen = observations
+    known = seen.sparkSession.createDataFrame([(token,) for token in stable], "token STRING")  # stable without any observation
     if as_of is not None:
         seen = seen.filter(F.col("at") <= as_of)
         if ttl_s is not None:
@@ -44,7 +45,7 @@ def quote_price(observations: DataFrame, as_of: Column | None = None, ttl_s: flo
         return _positive(F.max_by("price_usd", F.when(F.col("source") == source, F.struct("at", "event_id"))))
 
     token = F.lower("token")
-    feeds = seen.withColumn("token", token).groupBy("token").agg(
+    feeds = seen.unionByName(known, allowMissingColumns=True).withColumn("token", token).groupBy("token").agg(
         latest("primary").alias("primary"), latest("secondary").alias("secondary"), _positive(_deepest()).alias("deepest")
     )
     price = (

@@ -10,13 +10,13 @@ from tidepool.schemas import INDEX_VERSION, LABEL_KINDS
 
 
 def latest_per_key(updates: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
-    """One update row per key: the last by ``order`` (any, when rows of a key are equal).
+    """One update row per key: the last by ``order``; where that ties or is not given, the largest by value.
 
     An aggregate, so replays of a hot key collapse before the shuffle.
     """
     rest = [c for c in updates.columns if c not in key]
     row = F.struct(*[F.col(c) for c in rest])
-    by = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
+    by = F.struct(*[F.col(c) for c in [*(order or []), *rest]])
     return updates.groupBy(*key).agg(F.max_by(row, by).alias("_row")).select(*key, *[F.col("_row")[c].alias(c) for c in rest])
 
 
@@ -47,14 +47,15 @@ METRIC_COLUMNS = ["liquidity_usd", "volume_usd", "first_trades", "risk"]
 def upsert_launches(launches: DataFrame, rows: DataFrame, overwrite_metrics: bool = False) -> DataFrame:
     """Ingested launch rows by pool address.
 
-    A re-ingested pool keeps its computed metrics; ``overwrite_metrics`` resets liquidity, volume,
+    Of several rows of a pool the last by block and log counts. A re-ingested pool keeps its computed metrics; ``overwrite_metrics`` resets liquidity, volume,
     first_trades and risk to the (empty) ingested values, and never touches intel columns.
     """
     known = [c for c in rows.columns if c in launches.columns and c != "pool_address"]
+    order = [c for c in ("block_number", "log_index") if c in rows.columns]
     identity = [c for c in known if c not in METRIC_COLUMNS + INTEL_COLUMNS + ["market_data_updated_at"]]
     if overwrite_metrics:
-        return upsert(launches, rows, ["pool_address"], identity + METRIC_COLUMNS)
-    merged = upsert(launches, rows, ["pool_address"], identity)
+        return upsert(launches, rows, ["pool_address"], identity + METRIC_COLUMNS, order=order)
+    merged = upsert(launches, rows, ["pool_address"], identity, order=order)
     return merged.withColumn("risk", F.coalesce("risk", F.lit("unrated"))) if "risk" in merged.columns else merged
 
 

@@ -176,7 +176,7 @@ query("swaps_x_tx", f"{_TRADED} SELECT who AS trader, count(*) AS swaps, count(D
 
 # ---- prices
 
-_PRICES = f"""{duckdb_cte('f_prices', 'f_pools', 'f_swaps', 'f_pair_aggregates')}, tk AS (SELECT DISTINCT token FROM f_prices),
+_PRICES = f"""{duckdb_cte('f_prices', 'f_pools', 'f_swaps', 'f_pair_aggregates')}, tk AS (SELECT token FROM f_prices UNION SELECT 't0'),
  lat AS (SELECT token, source, arg_max(price_usd, event_id) AS p FROM f_prices GROUP BY token, source),
  deep AS (SELECT token, price_usd AS p FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY coalesce(liquidity_usd, 0) DESC, "at" DESC, event_id DESC) AS rn FROM f_prices WHERE source = 'pair' AND price_usd > 0) WHERE rn = 1),
  pr AS (SELECT token, a.p AS pri, b.p AS sec, d.p AS dee FROM tk LEFT JOIN (SELECT * FROM lat WHERE source = 'primary' AND p > 0) a USING (token) LEFT JOIN (SELECT * FROM lat WHERE source = 'secondary' AND p > 0) b USING (token) LEFT JOIN deep d USING (token)),

@@ -11,6 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -138,6 +140,9 @@ def skew_join(facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str =
     if not _only_scans(facts):
         facts = stage(facts, "hot-facts")
     hot = sizes.select(*on)
+    # NULL keys meet nothing: they pass by the join instead of meeting in one task.
+    lacking = reduce(or_, [F.col(c).isNull() for c in on])
+    passed, facts = facts.filter(lacking), facts.filter(~lacking)
     shuffled = facts.join(F.broadcast(hot), on, "left_anti").join(dim, on, how)
     if sliced:
         assert how == "inner"
@@ -147,7 +152,8 @@ def skew_join(facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str =
         return hot_facts.join(copies, [*on, "_slice"]).drop("_slice").unionByName(shuffled)
     hot_dim = dim.join(F.broadcast(hot), on, "left_semi")
     on_map_side = facts.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_dim), on, how)
-    return on_map_side.unionByName(shuffled)
+    joined = on_map_side.unionByName(shuffled)
+    return joined.unionByName(passed, allowMissingColumns=True) if how in ("left", "left_anti") else joined
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str, spread: int = 1) -> DataFrame:

@@ -23,7 +23,7 @@ def scan_logs(raw_logs: DataFrame, address: str | None, topic0: str, from_block:
     The order of a log is its (block_number, log_index); rows are left unsorted, and consumers that
     need the order sort or rank by those two columns.
     """
-    wanted = (F.col("topics")[0] == topic0.lower()) & (F.col("block_number") >= from_block)
+    wanted = (F.get("topics", F.lit(0)) == topic0.lower()) & (F.col("block_number") >= from_block)
     if address is not None:
         wanted = wanted & (F.lower("address") == address.lower())
     if to_block is not None:
