@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,9 @@ def test_components(spark):
     got = {tuple(r) for r in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(41)} | {(i, 100) for i in range(100, 130)}
     assert links.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_forest_joins_what_its_edges_join():
+    a, b = np.array([1, 1, 2, 5, 2]), np.array([2, 3, 3, 6, 3])
+    picked = jaccard._forest(a, b, np.array([0.9, 0.8, 0.95, 0.9, 0.95]))
+    assert sorted(zip(a[picked].tolist(), b[picked].tolist(), strict=True)) == [(1, 2), (2, 3), (5, 6)]

@@ -7,11 +7,14 @@
    share a prefix shingle form a group; groups of equal members are one.
 3. First pass: in every group each set is held against the group's smallest set by bitmaps. What passes gives
    tentative components.
-4. Second pass: groups that hold several of them are cut into tiles of one size band (and blocks of a band), in which
-   every two sets of different components are compared by bitmaps: a bit of A that B has not is at least one shingle
-   of A that B has not, so ``|A| - bits(A and not B)`` bounds the overlap from above.
-5. All pairs that passed are intersected exactly. Where that parts a tentative component, its own pairs go through
-   tiles too. Sets already connected are not compared again, so a huge group of near copies stays linear.
+4. Groups that hold several of them are cut into tiles of one size band (and blocks of a band), in which every two
+   sets of different components are compared by bitmaps: a bit of A that B has not is at least one shingle of A that
+   B has not, so ``|A| - bits(A and not B)`` bounds the overlap from above. A tile gives a forest of the highest
+   bounds that joins all its candidates, one pair less than it has components.
+5. These pairs and those of the first pass are intersected exactly, which gives components of real links. Tiles over
+   these give another forest, and its links join further components.
+6. Last, tiles give every pair that may link between the components left. Sets already connected are not compared
+   again, so a huge group of near copies, where a forest finds the links, stays linear.
 
 Nothing is capped: common shingles only change the order, and large groups only get more tiles.
 
@@ -202,8 +205,11 @@ def _may_link(na: int, nb: int, ba: bytes, bb: bytes, percent: int) -> bool:
     return 100 * shared >= percent * (na + nb - shared)
 
 
-def _tile_pairs(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different roots that share a group and pass the bitmap bound. ``rows``: gid, sid, root."""
+def _tile_pairs(rows: DataFrame, sizes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of different roots that share a group and pass the bitmap bound. ``rows``: gid, sid, root.
+
+    With ``forest`` a forest of them per tile, and (a, a) for every set of such a pair.
+    """
     mixed_groups = rows.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gid")
     rows = rows.join(mixed_groups, "gid").join(sizes.select("sid", "n"), "sid")
     # Sets within the threshold lie in one band or in neighbouring ones.
@@ -220,7 +226,7 @@ def _tile_pairs(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _runs(batches, ["gid", "tile", "i", "j"]):
-            a, b = _compare_tile(tile, percent)
+            a, b = _compare_tile(tile, percent, forest)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -249,14 +255,35 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _compare_tile(tile: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Positions of the edges (a, b) of a maximum spanning forest, by Boruvka's rounds."""
+    order = np.argsort(-bound, kind="stable")
+    names, ends = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    every, edge, picked = np.arange(len(names)), np.arange(len(a)), []
+    while len(x):
+        part, first = np.unique(np.stack([x, y], axis=1).ravel(), return_index=True)
+        best = first // 2
+        up = every.copy()
+        up[part] = x[best] + y[best] - part
+        up = np.where((up[up] == every) & (every < up), every, up)
+        while (up[up] != up).any():
+            up = up[up]
+        picked.append(edge[np.unique(best)])
+        x, y = up[x], up[y]
+        apart = x != y
+        x, y, edge = x[apart], y[apart], edge[apart]
+    return order[np.concatenate(picked)]
+
+
+def _compare_tile(tile: pa.Table, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
     n, sid, root = (tile.column(c).to_numpy() for c in ("n", "sid", "root"))
     home, left = (np.array(tile.column(c).to_pylist(), bool) for c in ("home", "left"))
     diagonal = tile.column("i")[0] == tile.column("j")[0]
     raw = tile.column("bits").to_pylist()
     size = min(map(len, raw))
     bits = np.stack([_folded(b, size) for b in raw])
-    found_a, found_b = [], []
+    found_a, found_b, bounds = [], [], []
     for k in range(len(n) - 1):
         end = int(np.searchsorted(n, n[k] * 100 // percent, "right"))
         other = np.arange(k + 1, end)
@@ -267,16 +294,24 @@ def _compare_tile(tile: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]
             continue
         mine, theirs = bits[k], bits[other]
         shared = np.minimum(n[k] - np.bitwise_count(mine & ~theirs).sum(axis=1), n[other] - np.bitwise_count(theirs & ~mine).sum(axis=1))
-        other = other[100 * shared >= percent * (n[k] + n[other] - shared)]
-        found_a.append(np.full(len(other), sid[k]))
-        found_b.append(sid[other])
-    if not found_a:
+        either = n[k] + n[other] - shared
+        keep = 100 * shared >= percent * either
+        found_a.append(np.full(keep.sum(), k))
+        found_b.append(other[keep])
+        bounds.append(shared[keep] / either[keep])
+    if not sum(map(len, found_a)):
         return sid[:0], sid[:0]
-    return np.concatenate(found_a), np.concatenate(found_b)
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    if not forest:
+        return sid[a], sid[b]
+    both = np.unique(np.concatenate([a, b]))
+    of_forest = _forest(root[a], root[b], np.concatenate(bounds))
+    return sid[np.concatenate([a[of_forest], both])], sid[np.concatenate([b[of_forest], both])]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) that link, by intersecting the sorted sets. The texts of a pair meet in a tile of one ``a``."""
+    pairs = pairs.filter("a <> b")
     slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("slices"))
     spread = pairs.join(slices, "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int"))
     leads = spread.select("a", "slice").distinct().select("a", "slice", F.lit(0).alias("role"), F.col("a").alias("sid"))
@@ -314,17 +349,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     near = stage(_bound(stars, sizes, percent), "jaccard-near")
     tentative = stage(components(near).select(F.col("node").alias("sid"), F.col("root").alias("guess")), "jaccard-guess")
     guessed = groups.select("gid", "sid").join(tentative, "sid", "left")
-    across = stage(_tile_pairs(guessed.select("gid", "sid", F.coalesce("guess", "sid").alias("root")), sizes, percent), "jaccard-across")
+    across = stage(_tile_pairs(guessed.select("gid", "sid", F.coalesce("guess", "sid").alias("root")), sizes, percent, True), "jaccard-across")
     pairs = near.unionByName(across)
+    # Whatever a later pass compares is in one of these pairs too, if only with itself.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(full.groupBy("sid").agg(F.min("_row").alias("_row")), "sid")
     texts = stage(rows.select("_row", "text").join(wanted.hint("merge"), "_row").select("sid", "text").dropDuplicates(["sid"]), "jaccard-texts")
     links = stage(_verified(pairs, texts, words, percent), "jaccard-links")
-
-    # Pairs left out because both seemed connected, where the links do not connect them.
-    root = stage(components(links).withColumnRenamed("node", "sid"), "jaccard-roots")
-    inside = guessed.filter("guess IS NOT NULL").join(root, "sid", "left").select(F.xxhash64("gid", "guess").alias("gid"), "sid", F.coalesce("root", "sid").alias("root"))
-    more = stage(_verified(_tile_pairs(inside, sizes, percent), texts, words, percent), "jaccard-links")
-    final = components(links.unionByName(more)).withColumnRenamed("node", "sid")
+    for forest in (True, False):
+        root = stage(components(links).withColumnRenamed("node", "sid"), "jaccard-roots")
+        rooted = groups.select("gid", "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        more = stage(_tile_pairs(rooted, sizes, percent, forest), "jaccard-left")
+        stars = root.filter("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))
+        links = stars.unionByName(stage(_verified(more, texts, words, percent), "jaccard-links"))
+    final = components(links).withColumnRenamed("node", "sid")
 
     ids = full.groupBy("sid").agg(F.min("doc_id").alias("least")).join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
