@@ -225,10 +225,15 @@ def _tile_pairs(rows: DataFrame, sizes: DataFrame, percent: int, forest: bool) -
     placed = placed.join(sizes, "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for tile in _runs(batches, ["gid", "tile", "i", "j"]):
             a, b = _compare_tile(tile, percent, forest)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            new = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True) if p not in seen]
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.update(new)
 
     ordered = placed.repartition("gid", "tile", "i", "j").sortWithinPartitions("gid", "tile", "i", "j", "n")
     return ordered.mapInArrow(run, "a long, b long").distinct()
