@@ -14,7 +14,8 @@
 5. These pairs and those of the first pass are intersected exactly, which gives components of real links. Tiles over
    these give another forest, and its links join further components.
 6. Last, tiles give every pair that may link between the components left. Sets already connected are not compared
-   again, so a huge group of near copies, where a forest finds the links, stays linear.
+   again, so a huge group of near copies, where a forest finds the links, stays linear. Components only merge and a
+   forest names every set of its candidates, so each pass holds only the sets that the one before named.
 
 Nothing is capped: common shingles only change the order, and large groups only get more tiles.
 
@@ -360,10 +361,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(full.groupBy("sid").agg(F.min("_row").alias("_row")), "sid")
     texts = stage(rows.select("_row", "text").join(wanted.hint("merge"), "_row").select("sid", "text").dropDuplicates(["sid"]), "jaccard-texts")
     links = stage(_verified(pairs, texts, words, percent), "jaccard-links")
+    compared = texts.select("sid")
     for forest in (True, False):
         root = stage(components(links).withColumnRenamed("node", "sid"), "jaccard-roots")
-        rooted = groups.select("gid", "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        rooted = groups.select("gid", "sid").join(compared, "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         more = stage(_tile_pairs(rooted, sizes, percent, forest), "jaccard-left")
+        compared = more.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         stars = root.filter("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))
         links = stars.unionByName(stage(_verified(more, texts, words, percent), "jaccard-links"))
     final = components(links).withColumnRenamed("node", "sid")
