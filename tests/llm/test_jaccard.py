@@ -73,6 +73,23 @@ def test_chains_passages_and_odd_rows(spark, make_docs, small_blocks):
     assert jaccard.classes(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_a_row_of_every_component(spark, make_docs, small_blocks):
+    rng = random.Random(8)
+    unlike = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40)) for _ in range(12)]
+    near = [t + f" tail{i}" for i, t in enumerate(unlike)]
+    rows = [(None, t) for t in unlike[:4] + near[:2]] + [(7, t) for t in unlike[4:8] + near[4:6]] + [(20 + i, t) for i, t in enumerate(unlike[8:] + near[2:4])]
+    rows += [(None, None), (None, ""), (7, ""), (7, unlike[4])]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(make_docs(rows).repartition(3)).collect()]
+    # A component of the brute force, by numbering the rows: ids that are unique name it.
+    true = {i: c for i, _, c in brute([(i, t) for i, (_, t) in enumerate(rows)])}
+    of_text = {t: true[i] for i, (_, t) in enumerate(rows) if t}
+    assert sorted(of_text[t] for _, t in kept if t) == sorted(set(of_text.values())) and len(set(of_text.values())) == 12
+    for d, t in kept:
+        if t:
+            assert d == min((e for e, u in rows if u and of_text[u] == of_text[t] and e is not None), default=None)
+    assert {(d, t) for d, t in kept if not t} == {(None, None), (None, ""), (7, "")}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(500, 500)]
     got = {tuple(r) for r in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -343,7 +343,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, _row (hash of id and text), n_shingles, component_id per document."""
+    """doc_id, _row (hash of id and text), n_shingles, component_id, _root per document.
+
+    ``_root`` names the component by one of its sets, also where ids are NULL or repeat; NULL without shingles.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("_row"), F.col(text).alias("text"))
     sketch = sketches(rows, "text", words, percent)
     full = sketch.filter("n > 0")
@@ -373,15 +376,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
     ids = full.groupBy("sid").agg(F.min("doc_id").alias("least")).join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = ids.join(named, "root").select("sid", "component_id")
+    of_set = ids.join(named, "root").select("sid", "component_id", "root")
     return sketch.select("doc_id", "_row", F.col("n").alias("n_shingles"), "sid").join(of_set, "sid", "left").select(
-        "doc_id", "_row", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "_row", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("root").alias("_root")
     )
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: of every component the one with the smallest id (texts without words all stay once)."""
     found = classes(docs, doc_id, text, words, percent)
-    kept = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row")).alias("k")).select("k._row")
+    kept = found.filter("n_shingles > 0").groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row")).alias("k")).select("k._row")
     kept = kept.unionByName(found.filter("n_shingles = 0").select("_row")).distinct()
     return docs.withColumn("_row", F.xxhash64(doc_id, text)).join(kept, "_row").dropDuplicates(["_row"]).select(*docs.columns)
