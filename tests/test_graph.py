@@ -74,6 +74,28 @@ def test_inflows_cap_ties_and_cleaning(spark):
     assert (record["funding_amount"], record["funders"][0]["time_stamp"], record["funding_source"]) == ("1.2346 ETH", 60, "f")
 
 
+def test_fan_outs_without_a_cap_keep_every_edge(spark):
+    schema = "seq BIGINT, hash STRING, sender STRING, recipient STRING, value STRING, is_error BOOLEAN, via STRING, ts BIGINT"
+    rows = [(i, f"h{i}", f"f{i % 40:02d}", "w", "7", False, "external", 100 + i // 2) for i in range(60)]
+    rows += [(100 + i, f"o{i}", "hub", f"r{i:02d}", "7", False, "internal" if i == 1 else "external", 5) for i in range(30)]
+    transfers = spark.createDataFrame(rows, schema).repartition(3)
+    into = funding.funding_inflows(transfers, None).filter("wallet = 'w'").orderBy("position").collect()
+    assert [(r["position"], r["funder"], r["hash"]) for r in into] == [(i + 1, f"f{i:02d}", f"h{i}") for i in range(40)]
+    out = funding.funding_outflows(transfers, None).filter("funder = 'hub'").orderBy("position").collect()
+    assert [(r["position"], r["wallet"]) for r in out] == list(enumerate([f"r{i:02d}" for i in range(30) if i != 1] + ["r01"], 1))
+
+
+def test_research_flags_count_connections_that_are_not_shown(spark):
+    funders = {f"w{i:03d}": ["hub"] for i in range(320)}
+    labels = spark.createDataFrame([("w319", "rug-bot")], "address STRING, kind STRING")
+    seeds = spark.createDataFrame([("hub",)], "seed STRING")
+    edges = spark.createDataFrame(edge_rows(funders), EDGE)
+    report = research.research_report(seeds, edges, labels, hops=1)
+    row = report.summary.head()
+    assert (row["connection_count"], row["cluster_members"], row["rug_connected"], row["linked_rug_bots"]) == (320, 320, True, ["w319"])
+    assert report.connections.count() == 300 and report.connections.filter("address = 'w319'").count() == 0
+
+
 def test_legacy_records_have_one_edge(spark):
     schema = "address STRING, funders ARRAY<STRUCT<`from`: STRING, via: STRING, tx_hash: STRING, value: STRING, time_stamp: BIGINT>>, funding_source STRING, funding_tx_hash STRING"
     rows = [("a", [("f1", "internal", "", "1", 5), ("f2", "external", "t", "1", 6)], "f1", "x"), ("b", [], "old", "t9"), ("c", None, "old", None), ("d", None, None, None)]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.runtime import skew_join, stage, top_k
+from tidepool.runtime import number_rows, skew_join, stage, top_k
 from tidepool.schemas import (
     MAX_FUNDERS_PER_WALLET,
     MAX_FUNDING_HOPS,
@@ -32,31 +32,43 @@ def _effective(transfers: DataFrame) -> DataFrame:
     )
 
 
+def _first_by_other(transfers: DataFrame, wallet: str, other: str) -> DataFrame:
+    """Earliest transfer per (wallet, other side), with what orders a wallet's other sides: ts, _late, _seq, other."""
+    when = F.struct(F.col("ts"), (F.col("via") != "external").alias("late_list"), F.col("seq"))
+    return _effective(transfers).groupBy(F.col(wallet).alias("wallet"), F.col(other).alias("other")).agg(
+        F.min(when).alias("_when"),
+        F.min_by(F.struct("via", "hash", "value"), when).alias("_first"),
+    ).select("wallet", "other", "_first.*", F.col("_when.ts").alias("ts"), F.col("_when.late_list").alias("_late"), F.col("_when.seq").alias("_seq"))
+
+
 def dedupe_first_inflow(transfers: DataFrame, wallet: str = "recipient", other: str = "sender", n: int | None = None) -> DataFrame:
     """Earliest transfer per (wallet, other side), then the ``n`` earliest other sides per wallet.
 
     Time ties go to the normal transfer list, then to list order. The first step is a map-side
     combined aggregate, the second keeps n rows per wallet before its shuffle.
     """
-    when = F.struct(F.col("ts"), (F.col("via") != "external").alias("late_list"), F.col("seq"))
-    first = _effective(transfers).groupBy(F.col(wallet).alias("wallet"), F.col(other).alias("other")).agg(
-        F.min(when).alias("_when"),
-        F.min_by(F.struct("via", "hash", "value"), when).alias("_first"),
-    ).select("wallet", "other", "_first.*", F.col("_when.ts").alias("ts"), F.col("_when.late_list").alias("_late"), F.col("_when.seq").alias("_seq"))
+    first = _first_by_other(transfers, wallet, other)
     order = [F.col("ts"), F.col("_late"), F.col("_seq"), F.col("other")]
     if n is None:
         return first.drop("_late", "_seq")
     return top_k(first, ["wallet"], order, n, "position").drop("_late", "_seq")
 
 
-def funding_inflows(transfers: DataFrame, max_funders: int = MAX_FUNDERS_PER_WALLET) -> DataFrame:
-    """(wallet, funder, via, hash, value, ts, position): each wallet's first distinct funders."""
-    return dedupe_first_inflow(transfers, "recipient", "sender", max_funders).withColumnRenamed("other", "funder")
+def _positioned(transfers: DataFrame, wallet: str, other: str, n: int | None) -> DataFrame:
+    """The ``n`` earliest other sides of every wallet, or all of them, numbered without one task per wallet."""
+    if n is not None:
+        return dedupe_first_inflow(transfers, wallet, other, n)
+    return number_rows(_first_by_other(transfers, wallet, other), ["wallet"], ["ts", "_late", "_seq", "other"], "position").drop("_late", "_seq")
+
 
+def funding_inflows(transfers: DataFrame, max_funders: int | None = MAX_FUNDERS_PER_WALLET) -> DataFrame:
+    """(wallet, funder, via, hash, value, ts, position): each wallet's first distinct funders; None gives all."""
+    return _positioned(transfers, "recipient", "sender", max_funders).withColumnRenamed("other", "funder")
 
-def funding_outflows(transfers: DataFrame, max_recipients: int = RESEARCH_OUT_FANOUT) -> DataFrame:
-    """(funder, wallet, via, hash, value, ts, position): the first distinct wallets each sender funded."""
-    rows = dedupe_first_inflow(transfers, "sender", "recipient", max_recipients)
+
+def funding_outflows(transfers: DataFrame, max_recipients: int | None = RESEARCH_OUT_FANOUT) -> DataFrame:
+    """(funder, wallet, via, hash, value, ts, position): the first distinct wallets each sender funded; None gives all."""
+    rows = _positioned(transfers, "sender", "recipient", max_recipients)
     return rows.withColumnsRenamed({"wallet": "funder", "other": "wallet"})
 
 
@@ -66,7 +78,11 @@ def funding_amount(value: Column, decimals: int = 18) -> Column:
 
 
 def wallet_funding_build(inflows: DataFrame, as_of: Column, decimals: int = 18) -> DataFrame:
-    """One record per wallet: all kept funders in order (at most 12) and the earliest one spelled out."""
+    """One record per wallet: all funders of ``inflows`` in order and the earliest one spelled out.
+
+    A record holds its funders in one array, so inflows without a cap belong here only where no wallet has very many
+    (they are edges as they are).
+    """
     funder = F.struct(
         F.col("position"), F.col("funder").alias("from"), "via", F.col("hash").alias("tx_hash"),
         F.col("value").cast("string").alias("value"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("time_stamp"),

@@ -147,7 +147,7 @@ def label_connections(connections: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def research_summary(labelled: DataFrame, walk: Walk, labels: DataFrame) -> DataFrame:
-    """Per seed: connection and cluster counts, linked bots (both after the cap), wallets explored (before it)."""
+    """Per seed: connection and cluster counts and linked bots of the ``labelled`` connections, and wallets explored."""
     bot = F.col("label") == "rug-bot"
     counted = labelled.groupBy("seed").agg(
         F.count("*").alias("connection_count"),
@@ -179,14 +179,19 @@ class ResearchReport:
 
 
 def research_report(seeds: DataFrame, edges: DataFrame, labels: DataFrame, as_of: Column | None = None, hops: int = RESEARCH_HOPS,
-                    threshold: int = PUBLIC_FUNDER_THRESHOLD, public_seeds: list[str] = PUBLIC_FUNDER_SEEDS, outflows: DataFrame | None = None) -> ResearchReport:
-    """The whole research answer for all seeds in one job."""
+                    threshold: int = PUBLIC_FUNDER_THRESHOLD, public_seeds: list[str] = PUBLIC_FUNDER_SEEDS, outflows: DataFrame | None = None,
+                    counted: int | None = None) -> ResearchReport:
+    """The whole research answer for all seeds in one job.
+
+    The summary counts all connections, or the ``counted`` strongest; only the rows shown are cut.
+    """
     bots = labels.filter("kind = 'rug-bot'").select(F.lower("address").alias("address")).distinct()
     walk = research_walk(seeds, edges, hops, outflows)
-    clustered = research_components(walk, edges, bots, threshold, public_seeds)
+    clustered = stage(research_components(walk, edges, bots, threshold, public_seeds), "research-clustered")
     connections = stage(label_connections(top_connections(clustered), labels), "research-connections")
     nodes, drawn = research_graph(connections, walk, bots)
-    summary = research_summary(connections, walk, labels)
+    every = clustered.filter("address <> seed") if counted is None else top_connections(clustered, counted)
+    summary = research_summary(label_connections(every, labels), walk, labels)
     if as_of is not None:
         summary = summary.withColumn("updated_at", as_of)
     return ResearchReport(summary, connections, nodes, drawn)

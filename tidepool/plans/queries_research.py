@@ -59,7 +59,7 @@ def _clustered(fx: Fixtures):
 
 
 def _report(fx: Fixtures) -> research.ResearchReport:
-    return once(fx, "research-report", lambda: research.research_report(_seeds(fx), fx.f_edges, fx.f_labels, threshold=PUBLIC_AT, public_seeds=[]))
+    return once(fx, "research-report", lambda: research.research_report(_seeds(fx), fx.f_edges, fx.f_labels, threshold=PUBLIC_AT, public_seeds=[], counted=schemas.RESEARCH_MAX_CONNECTIONS))
 
 
 query("research_walk", f"{_WALK} SELECT * FROM walked")(lambda fx: _walk(fx).nodes)
@@ -78,7 +78,7 @@ _SUMMARY = f"""{_CLUSTER}, s AS (SELECT seed, count(*) AS connection_count, coun
  SELECT n0.seed, 'rug-bot' AS label, TRUE AS rug_connected, coalesce(connection_count, 0) AS connection_count, coalesce(cluster_members, 0) AS cluster_members, coalesce(linked_rug_bot_count, 0) AS linked_rug_bot_count,
  coalesce(linked_rug_bots, '') AS linked_rug_bots, wallets_explored, n0.seed NOT IN (SELECT seed FROM n4) AS complete FROM n0 JOIN w ON w.seed = n0.seed LEFT JOIN s ON s.seed = n0.seed"""
 query("research_summary", _SUMMARY)(lambda fx: _report(fx).summary.withColumn("linked_rug_bots", F.array_join("linked_rug_bots", ",")))
-query("research_report", _SUMMARY)(lambda fx: research.research_report(_seeds(fx), fx.f_edges, fx.f_labels, threshold=PUBLIC_AT, public_seeds=[]).summary.withColumn(
+query("research_report", _SUMMARY)(lambda fx: research.research_report(_seeds(fx), fx.f_edges, fx.f_labels, threshold=PUBLIC_AT, public_seeds=[], counted=schemas.RESEARCH_MAX_CONNECTIONS).summary.withColumn(
     "linked_rug_bots", F.array_join("linked_rug_bots", ",")))
 
 
