@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import chat, decontaminate, jaccard, language, mixing, neighbours, quality, secrets, sharding, suffix_dedup
+from tidepool.llm import chat, decontaminate, jaccard, language, mixing, neighbours, oracles, packing, phrases, quality, secrets, sharding, suffix_dedup, treap
 from tidepool.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,5 +75,26 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.withColumn("masks", masks)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_neighbours, op4_quality, op5_jaccard_join, op6_suffix_dedup, op7_decontamination, op8_mixing, op9_language, op10_chat_rotation)}
-ORACLES: dict[str, str] = {}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return treap.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of every language."""
+    return phrases.top(table(spark, sf_dir, "documents"), 2000)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences of at most 2,048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_sharding, op3_neighbours, op4_quality, op5_jaccard_join, op6_suffix_dedup, op7_decontamination, op8_mixing,
+        op9_language, op10_chat_rotation, op11_lexical_search, op12_collocations, op13_packing,
+    )
+}
+ORACLES: dict[str, str] = {"op11_lexical_search": oracles.LEXICAL, "op12_collocations": oracles.PHRASES}
