@@ -8,9 +8,9 @@ brings a summed array back to canonical limbs when it has to be compared or prin
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 LIMBS = 11
 BASE = 1 << 24
@@ -98,6 +98,34 @@ def limbs_double(limbs: Column) -> Column:
     return value
 
 
+def limbs_number(limbs: Column) -> Column:
+    """The double next to a summed array's exact value (halves to even), which ``limbs_double`` may miss by some bits.
+
+    The four leading limbs hold 73 bits or more, and a last bit set for anything below them decides a half.
+    """
+
+    def value(d: Column) -> Column:
+        first = F.greatest(F.coalesce(F.array_position(F.transform(d, lambda x: x != 0), F.lit(True)).cast("int"), F.lit(0)), F.lit(1))
+        at = F.least(first, F.size(d) - 3)
+        part = lambda i: F.element_at(d, at + i)
+        below = F.slice(d, at + 4, F.greatest(F.size(d) - at - 3, F.lit(0)))
+        sticky = F.when(F.exists(below, lambda x: x != 0), 1).otherwise(0).cast("long")
+        high, low = part(0) * BASE + part(1), (part(2) * BASE + part(3)).bitwiseOR(sticky)
+        scale = F.pow(F.lit(2.0), (24 * (F.size(d) - at - 3)).cast("double"))
+        return (high.cast("double") * F.lit(float(BASE * BASE)) + low.cast("double")) * scale
+
+    # A one-element transform, so that the carried digits are made once.
+    return F.transform(F.array(carried(limbs)), value)[0]
+
+
+def exact_total(df: DataFrame, raw: str, when: Column | None = None) -> Column:
+    """Aggregate: correctly rounded double of the exact sum of ``raw`` (limbs or BIGINT) over the rows ``when`` holds."""
+    kept = F.col(raw) if when is None else F.when(when, F.col(raw))
+    if isinstance(df.schema[raw].dataType, ArrayType):
+        return limbs_number(F.array(*[F.coalesce(F.sum(kept[i]), F.lit(0)) for i in range(LIMBS)]))
+    return F.coalesce(F.sum(kept.cast("decimal(38,0)")), F.lit(0)).cast("double")
+
+
 def format_units(raw: Column, decimals: Column) -> Column:
     """Raw integer amount over 10^decimals as double."""
     return raw.cast("double") / F.pow(F.lit(10.0), decimals.cast("double"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import secs_after_launch
-from tidepool.functions.words import limbs_double, limbs_hex
+from tidepool.functions.words import exact_total, limbs_double, limbs_hex
 from tidepool.operators.components import connected_components
 from tidepool.operators.funding import flag_public, funding_walk
 from tidepool.operators.market import quote_sum, raw_to_units
@@ -271,7 +271,7 @@ def assign_clusters(classified: DataFrame, rings: DataFrame) -> DataFrame:
 def cluster_rollup(clustered: DataFrame, rings: DataFrame | None = None, creator_source: DataFrame | None = None) -> DataFrame:
     """Per (pool, cluster): kind, members, raw volume and, when the inputs are given, the funding source."""
     rows = clustered.filter("cluster_id IS NOT NULL").groupBy(POOL, "cluster_id").agg(
-        F.count("*").alias("member_count"), F.sum("quote_total").alias("quote_total")
+        F.count("*").alias("member_count"), exact_total(clustered, "quote_raw").alias("quote_total")
     ).withColumn("kind", F.when(F.col("cluster_id") == 0, "creator-insider").otherwise("coordinated"))
     if rings is not None:
         heads = rings.select(POOL, F.col("ring_id").alias("cluster_id"), F.col("funder").alias("_ring_source")).distinct()
@@ -284,20 +284,24 @@ def cluster_rollup(clustered: DataFrame, rings: DataFrame | None = None, creator
     return rows
 
 
-def pool_intel(classified: DataFrame, launches: DataFrame) -> DataFrame:
+def pool_intel(classified: DataFrame, launches: DataFrame, logs_seen: DataFrame | None = None) -> DataFrame:
     """Per pool: raw totals, insider ratio and counts, and external/insider volume in USD.
 
     ``launches``: pool_address, volume_usd (stored total, may be NULL), quote_decimals, price_usd. The
-    split is anchored to the stored total when positive, otherwise to the measured one.
+    split is anchored to the stored total when positive, otherwise to the measured one. Raw amounts are
+    summed exactly before anything is rounded. ``logs_seen`` (pool_address, analyzed_trades) counts the
+    logs looked at, undecodable ones too; without it the traders' trades are counted.
     """
     insider = F.col("classification") != "external"
     sums = classified.groupBy(POOL).agg(
-        F.sum("quote_total").alias("total_quote"),
-        F.sum(F.when(insider, F.col("quote_total")).otherwise(0.0)).alias("insider_quote"),
+        exact_total(classified, "quote_raw").alias("total_quote"),
+        exact_total(classified, "quote_raw", insider).alias("insider_quote"),
         F.count(F.when(insider, 1)).alias("insider_buyer_count"),
         F.count(F.when(~insider, 1)).alias("external_buyer_count"),
         F.sum("trade_count").alias("analyzed_trades"),
     )
+    if logs_seen is not None:
+        sums = sums.drop("analyzed_trades").join(logs_seen, POOL, "full_outer")
     joined = launches.select(POOL, "volume_usd", "quote_decimals", "price_usd").join(sums, POOL, "left").fillna(
         0, ["total_quote", "insider_quote", "insider_buyer_count", "external_buyer_count", "analyzed_trades"]
     )

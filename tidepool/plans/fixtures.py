@@ -113,11 +113,12 @@ class Fixtures:
         cores = self.spark.sparkContext.defaultParallelism
         return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
-    def swap_logs(self) -> DataFrame:
+    def swap_logs(self, wide: bool = False) -> DataFrame:
         """Line items as raw hex swap logs of the three exchanges (supplier = pool, part = trader).
 
-        The quote amount is cents x 2^64, so that it needs more than 64 bits; even pools have the quote
-        token first. Lines of quantity 50 are cut short and cannot be decoded.
+        The quote amount is cents x 2^64, so that it needs more than 64 bits; ``wide`` amounts add
+        (l_partkey + 1) * 4294967311 + l_orderkey in the low bits. Even pools have the quote token first.
+        Lines of quantity 50 are cut short and cannot be decoded.
         """
         zero = F.lit("0" * 64)
         rows = self._spread(self.lineitem).withColumns({
@@ -126,8 +127,13 @@ class Fixtures:
         })
         signed_sell = (F.col("kind") == 2) & ~F.col("buy") & (F.col("cents") != 0)
         top = F.when(signed_sell, F.lit("f" * 32)).otherwise(F.lit("0" * 32))
-        digits = F.lpad(F.lower(F.hex(F.when(signed_sell, -F.col("cents")).otherwise(F.col("cents")))), 16, "0")
-        rows = rows.withColumn("amount", F.concat(top, digits, F.lit("0" * 16)))
+        low = (F.col("l_partkey") + 1) * 4294967311 + F.col("l_orderkey") if wide else F.lit(0).cast("long")
+        borrow = F.when(signed_sell & (low != 0), 1).otherwise(0)  # the two's complement of a low part takes one from above
+
+        def half(value):
+            return F.lpad(F.lower(F.hex(F.when(signed_sell, -value).otherwise(value))), 16, "0")
+
+        rows = rows.withColumn("amount", F.concat(top, half(F.col("cents") + borrow), half(low)))
         # Where the amount goes: its word index among the event's words.
         slot = F.when(F.col("quote_is_token0"), 0).otherwise(1) + F.when((F.col("kind") != 2) & ~F.col("buy"), 2).otherwise(0)
         rows = rows.withColumns({"slot": slot, "words": F.when(F.col("kind") == 2, 5).otherwise(4)})

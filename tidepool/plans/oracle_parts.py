@@ -22,10 +22,12 @@ ball AS (SELECT * FROM e0 UNION SELECT * FROM e1 UNION SELECT * FROM e2),
 private AS (SELECT b.pool_address, b.wallet, b.funder, b.position FROM ball b JOIN f_pools p ON p.pool_address = b.pool_address JOIN deg d ON d.funder = b.funder
  WHERE b.funder = p.creator OR b.funder IN (SELECT address FROM bots) OR d.wallets < {PUBLIC_AT})"""
 
-ROOTS = """und AS (SELECT pool_address, wallet AS u, funder AS v FROM private UNION SELECT pool_address, funder, wallet FROM private),
-closure(pool_address, node, label) AS (SELECT DISTINCT pool_address, u, u FROM und
- UNION SELECT e.pool_address, e.v, c.label FROM closure c JOIN und e ON e.pool_address = c.pool_address AND e.u = c.node),
-labelled AS (SELECT pool_address, node, min(label) AS root FROM closure GROUP BY pool_address, node),
+# One label per (pool, node), lowered until nothing changes.
+ROOTS = """und AS MATERIALIZED (SELECT pool_address, wallet AS u, funder AS v FROM private UNION SELECT pool_address, funder, wallet FROM private),
+closure(pool_address, node, label) USING KEY (pool_address, node) AS (SELECT DISTINCT pool_address, u, u FROM und
+ UNION SELECT e.pool_address, e.v, min(c.label) FROM closure c JOIN und e ON e.pool_address = c.pool_address AND e.u = c.node
+  JOIN recurring.closure k ON k.pool_address = e.pool_address AND k.node = e.v WHERE c.label < k.label GROUP BY e.pool_address, e.v),
+labelled AS (SELECT pool_address, node, label AS root FROM closure),
 roots AS (SELECT * FROM labelled UNION ALL SELECT c.pool_address, c.wallet, c.wallet FROM core c
  WHERE NOT EXISTS (SELECT 1 FROM labelled l WHERE l.pool_address = c.pool_address AND l.node = c.wallet))"""
 

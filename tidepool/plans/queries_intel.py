@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepool.operators import funding, intel
+from tidepool.operators import funding, intel, realvolume
 from tidepool.plans import attendees
 from tidepool.plans.fixtures import Fixtures, duckdb_cte
 from tidepool.plans.oracle_parts import BALL, CLASSIFIED, PUBLIC_AT, RINGS, ROOTS, TRADERS, intel_cte
@@ -174,9 +174,52 @@ query("pool_intel", f"""{_FULL} SELECT pool_address, analyzed_trades, insider_bu
     lambda fx: _round(intel.pool_intel(analysis(fx).classified, analysis(fx).launches)))
 
 
-def _round(df):
+def _round(df, digits=6):
     money = {c: F.round(c, 4) for c in ("total_volume_usd", "external_volume_usd", "insider_volume_usd")}
-    return df.withColumns({**money, "insider_ratio": F.round("insider_ratio", 6)})
+    return df.withColumns({**money, "insider_ratio": F.round("insider_ratio", digits)})
+
+
+# ---- volume split from raw logs
+
+_WIDE = """f_swaps AS (SELECT concat('s', l_suppkey) AS pool_address, coalesce(t.sender, concat('w', l_partkey)) AS trader,
+  CAST(round(l_extendedprice * 100) AS HUGEINT) * 18446744073709551616 + (l_partkey + 1) * 4294967311 + l_orderkey AS quote_raw, l_shipdate AS ts, l_orderkey AS block_number,
+  CAST(l_linenumber AS BIGINT) AS log_index, l_quantity = 50 AS unread FROM lineitem LEFT JOIN f_tx t ON t.hash = concat('h', l_orderkey)),
+ tip AS (SELECT max(l_orderkey) AS tip_block FROM lineitem),
+ win AS (SELECT s.* FROM f_swaps s JOIN f_pools p ON p.pool_address = s.pool_address, tip WHERE s.block_number BETWEEN tip_block - tip_block // 2 AND tip_block AND s.block_number >= p.block_number),
+ traders AS (SELECT pool_address, trader, sum(quote_raw) AS quote_raw, count(*) AS trade_count FROM win WHERE NOT unread GROUP BY pool_address, trader)"""
+_FROM_LOGS = ", ".join([duckdb_cte("f_tx", "f_pools", "f_edges", "f_labels", "f_prices"), _PRICES[_PRICES.index("tk AS ("):], _WIDE, BALL, ROOTS, CLASSIFIED]) + """,
+ seen AS (SELECT pool_address, count(*) AS analyzed_trades FROM win GROUP BY pool_address),
+ sums AS (SELECT pool_address, sum(quote_raw) AS total, coalesce(sum(quote_raw) FILTER (classification <> 'external'), 0) AS insider, count(*) FILTER (classification <> 'external') AS insider_buyer_count,
+  count(*) FILTER (classification = 'external') AS external_buyer_count FROM classified GROUP BY pool_address),
+ intel AS (SELECT '0x' || lpad(lower(hex(CAST(substr(p.pool_address, 2) AS BIGINT))), 40, '0') AS pool_address, coalesce(n.analyzed_trades, 0) AS analyzed_trades, coalesce(s.insider_buyer_count, 0) AS insider_buyer_count,
+  coalesce(s.external_buyer_count, 0) AS external_buyer_count, coalesce(s.total, 0) AS total, coalesce(s.insider, 0) AS insider, CASE WHEN s.total > 0 THEN CAST(s.insider AS DOUBLE) / CAST(s.total AS DOUBLE) ELSE 0.0e0 END AS insider_ratio,
+  CASE WHEN p.volume_usd > 0 THEN p.volume_usd ELSE CAST(coalesce(s.total, 0) AS DOUBLE) / 1.0e20 * pr.price_usd END AS total_volume_usd
+  FROM f_pools p LEFT JOIN sums s ON s.pool_address = p.pool_address LEFT JOIN seen n ON n.pool_address = p.pool_address LEFT JOIN prices pr ON pr.token = p.quote_address)
+ SELECT pool_address, analyzed_trades, insider_buyer_count, external_buyer_count, insider_buyer_count + external_buyer_count AS buyer_count, round(insider_ratio, 9) AS insider_ratio, round(total_volume_usd, 4) AS total_volume_usd,
+  round(total_volume_usd * (1 - insider_ratio), 4) AS external_volume_usd, round(total_volume_usd * insider_ratio, 4) AS insider_volume_usd,
+  lpad(lower(hex(total)), 72, '0') AS total_quote_hex, lpad(lower(hex(insider)), 72, '0') AS insider_quote_hex FROM intel"""
+
+
+def _chain_address(name):
+    """'w12' and 's12' as addresses in the logs' hex space; other names as they are."""
+    number = F.lpad(F.lower(F.hex(F.substring(name, 2, 18).try_cast("long"))), 40, "0")
+    return F.when(name.rlike("^[ws][0-9]+$"), F.concat(F.lit("0x"), number)).otherwise(name)
+
+
+@query("pool_intel_from_logs", _FROM_LOGS)
+def intel_from_logs(fx: Fixtures):
+    """Real volume of every pool from raw 256-bit logs over the newer half of the chain."""
+    logs = fx.swap_logs(wide=True)
+    tip = realvolume.tip_of(fx.lineitem, "l_orderkey")
+    transactions = fx.orders.filter("o_orderstatus <> 'P'").select(
+        F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("o_orderkey")), 64, "0")).alias("hash"), _chain_address(F.concat(F.lit("w"), "o_custkey")).alias("from"), F.col("o_orderkey").alias("block_number"))
+    pools = priced_pools(fx).select(
+        _chain_address(F.col("pool_address")).alias("pool_address"), _chain_address(F.col("creator")).alias("creator"), F.col("block_number").alias("launch_block"),
+        (F.substring("pool_address", 2, 18).cast("long") % 2 == 0).alias("quote_is_token0"), F.lit(20).alias("quote_decimals"), "price_usd", "volume_usd")
+    edges = fx.f_edges.withColumns({c: _chain_address(F.col(c)) for c in ("wallet", "funder")})
+    labels = fx.f_labels.withColumn("address", _chain_address(F.col("address")))
+    rows = realvolume.pool_intel_from_logs(logs.drop("quote_is_token0"), transactions, pools, edges, labels, tip, tip // 2, threshold=PUBLIC_AT, seeds=[])
+    return _round(rows, 9)
 
 
 # ---- rings, clusters
