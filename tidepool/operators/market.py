@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.words import format_units, format_units_limbs, limbs_hex, sum_u256, units_text
+from tidepool.operators.asof import asof_join
 from tidepool.runtime import skew_join, top_k
 from tidepool.schemas import BLOCKS_PER_DAY, FIRST_TRADES
 from tidepool.sources.dex import STABLE_QUOTES, VIRTUAL, WETH
@@ -57,6 +58,40 @@ def quote_price(observations: DataFrame, as_of: Column | None = None, ttl_s: flo
     return feeds.select("token", price.alias("price_usd")).filter("price_usd IS NOT NULL")
 
 
+def price_snapshots(observations: DataFrame) -> DataFrame:
+    """One row per token and moment: primary, secondary and pair readings, as structs whose price_usd is NULL for a failed one.
+
+    The pair reading of a moment is the deepest pair seen then (unknown depth = 0) among those with a positive price.
+    """
+    def reading(source: str, price: Column) -> Column:
+        return F.when(F.count(F.when(F.col("source") == source, 1)) > 0, F.struct(_positive(price).alias("price_usd"))).alias(source)
+
+    def latest(source: str) -> Column:
+        return F.max_by("price_usd", F.when(F.col("source") == source, F.col("event_id")))
+
+    deepest = F.max_by("price_usd", F.when((F.col("source") == "pair") & (F.col("price_usd") > 0), F.struct(F.coalesce(F.col("liquidity_usd"), F.lit(0)), F.col("event_id"))))
+    return observations.withColumn("token", F.lower("token")).groupBy("token", "at").agg(
+        reading("primary", latest("primary")), reading("secondary", latest("secondary")), reading("pair", deepest)
+    )
+
+
+def priced_as_of(rows: DataFrame, observations: DataFrame, quote: str, at: str, ttl: Column | None = None,
+                 stable: list[str] = STABLE_QUOTES, native: str = WETH, listed: list[str] = [VIRTUAL]) -> DataFrame:
+    """``rows`` with the USD price of their quote token at their own time.
+
+    The same preference as ``quote_price``; a reading counts until ``ttl`` has passed, a failed one as no price
+    until the next reading of its feed.
+    """
+    found = asof_join(rows.withColumn("token", F.lower(quote)), price_snapshots(observations), "token", at, "at", ["primary", "secondary", "pair"], ttl)
+    price = (
+        F.when(F.col("token").isin(stable), F.lit(1.0))
+        .when(F.col("token") == native, F.coalesce("primary.price_usd", "secondary.price_usd"))
+        .when(F.col("token").isin(listed), F.coalesce("primary.price_usd", "pair.price_usd"))
+        .otherwise(F.col("pair.price_usd"))
+    )
+    return found.withColumn("price_usd", price).drop("token", "primary", "secondary", "pair")
+
+
 def latest_reserves(reserves: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Latest quote reserve per pool at or before ``as_of`` from (pool_address, at, quote_reserve_raw)."""
     seen = reserves if as_of is None else reserves.filter(F.col("at") <= as_of)

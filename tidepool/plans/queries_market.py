@@ -193,6 +193,65 @@ query("quote_x_price", f"{_PRICES} SELECT pool_address, price_usd FROM f_pools L
     lambda fx: market.priced(fx.f_pools, prices(fx)).select("pool_address", "price_usd"))
 
 
+# ---- prices as of a row's own time
+
+_TTL_HOURS = 2
+#: Trades as they come in over 34 days, from before the first reading until after the last has expired.
+_TRADES = """trades AS (SELECT l_orderkey AS trade, l_linenumber AS line, l_partkey AS part, concat('t', l_suppkey % 12) AS token, CAST(round(l_extendedprice * 100) AS BIGINT) AS quote_raw,
+  CAST(TIMESTAMP '2023-12-30 00:00:00' AS TIMESTAMP) + to_minutes(CAST((l_orderkey * 7919 + l_linenumber * 131 + l_partkey) % 48960 AS INTEGER)) AS traded_at FROM lineitem)"""
+#: Feeds are read once an hour, so several pairs of a token share a moment.
+_READINGS = """obs AS (SELECT token, source, price_usd, liquidity_usd, date_trunc('hour', "at") AS "at", event_id FROM f_prices),
+ pri AS (SELECT token, "at", arg_max(price_usd, event_id) AS p FROM obs WHERE source = 'primary' GROUP BY ALL), sec AS (SELECT token, "at", arg_max(price_usd, event_id) AS p FROM obs WHERE source = 'secondary' GROUP BY ALL),
+ par AS (SELECT token, "at", arg_max(price_usd, (coalesce(liquidity_usd, 0), event_id)) FILTER (price_usd > 0) AS p FROM obs WHERE source = 'pair' GROUP BY ALL)"""
+
+
+def _asof_sql(rows: str, key: str, at: str) -> str:
+    def last(feed: str) -> str:
+        fresh = f"""{feed}."at" > r.{at} - INTERVAL {_TTL_HOURS} HOUR AND {feed}.p > 0"""
+        return f"CASE WHEN {fresh} THEN {feed}.p END"
+
+    joins = " ".join(f"""ASOF LEFT JOIN {feed} ON {feed}.token = r.{key} AND r.{at} >= {feed}."at\"""" for feed in ("pri", "sec", "par"))
+    return f"""SELECT r.*, CASE r.{key} WHEN 't0' THEN 1.0e0 WHEN 't1' THEN coalesce({last('pri')}, {last('sec')}) WHEN 't2' THEN coalesce({last('pri')}, {last('par')})
+ WHEN 't3' THEN coalesce({last('pri')}, {last('par')}) ELSE {last('par')} END AS price_usd FROM {rows} r {joins}"""
+
+
+def _readings(fx: Fixtures):
+    return fx.f_prices.withColumn("at", F.date_trunc("hour", "at").cast("timestamp_ntz"))
+
+
+def _trades(fx: Fixtures):
+    minutes = ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 131 + F.col("l_partkey")) % 48960).cast("int")
+    at = F.lit("2023-12-30 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=minutes)
+    return fx.lineitem.select(
+        F.col("l_orderkey").alias("trade"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.concat(F.lit("t"), F.col("l_suppkey") % 12).alias("token"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("quote_raw"), at.alias("traded_at"))
+
+
+def _priced_trades(fx: Fixtures):
+    ttl = F.make_dt_interval(hours=F.lit(_TTL_HOURS))
+    return market.priced_as_of(_trades(fx).withColumnRenamed("token", "quote"), _readings(fx), "quote", "traded_at", ttl, ["t0"], "t1", ["t2", "t3"])
+
+
+query("quote_x_price_as_of", f"{duckdb_cte('f_prices')}, {_TRADES}, {_READINGS}, x AS ({_asof_sql('trades', 'token', 'traded_at')}) SELECT trade, line, part, token AS quote, traded_at, price_usd FROM x")(
+    lambda fx: _priced_trades(fx).select("trade", "line", "part", "quote", "traded_at", "price_usd"))
+query("volume_at_trade_prices", f"""{duckdb_cte('f_prices')}, {_TRADES}, {_READINGS}, x AS ({_asof_sql('trades', 'token', 'traded_at')})
+ SELECT token AS quote, count(*) AS trades, count(price_usd) AS priced, round(sum(quote_raw / 100.0e0 * price_usd), 3) AS volume_usd FROM x GROUP BY token""")(
+    lambda fx: _priced_trades(fx).groupBy("quote").agg(F.count("*").alias("trades"), F.count("price_usd").alias("priced"), F.round(F.sum(F.col("quote_raw") / 100.0 * F.col("price_usd")), 3).alias("volume_usd")))
+query("deepest_pair_snapshot", f"""{duckdb_cte('f_prices')}, {_READINGS} SELECT token, "at", p AS price_usd FROM par""")(
+    lambda fx: market.price_snapshots(_readings(fx)).filter("pair IS NOT NULL").select("token", "at", F.col("pair.price_usd").alias("price_usd")))
+
+
+@query("quote_price_as_of", f"""{duckdb_cte('f_prices')}, {_READINGS}, asked AS (SELECT concat('t', t) AS token, TIMESTAMP '2024-01-01 00:30:00' + to_hours(CAST(h * 29 AS INTEGER)) AS asked_at FROM range(12) a(t), range(26) b(h)),
+ x AS ({_asof_sql('asked', 'token', 'asked_at')}) SELECT token, asked_at, price_usd FROM x""")
+def quote_prices_over_time(fx: Fixtures):
+    """Every token's price at 26 moments, all from one pass over the readings."""
+    asked = fx.spark.range(12 * 26).select(
+        F.concat(F.lit("t"), (F.col("id") % 12).cast("string")).alias("quote"),
+        (F.lit("2024-01-01 00:30:00").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.floor(F.col("id") / 12) * 29).cast("int"))).alias("asked_at"))
+    rows = market.priced_as_of(asked, _readings(fx), "quote", "asked_at", F.make_dt_interval(hours=F.lit(_TTL_HOURS)), ["t0"], "t1", ["t2", "t3"])
+    return rows.select(F.col("quote").alias("token"), "asked_at", "price_usd")
+
+
 # ---- swaps of a window, volume, liquidity
 
 def _window(fx: Fixtures):
