@@ -15,9 +15,10 @@ from tidepool.plans.queries_intel import _INTEL, _merge, once
 from tidepool.plans.queries_market import _BUILT, _LIQ, _PRICES, _VOLUME, _hex_dims, _liquidity, _volume, priced_pools
 from tidepool.plans.registry import query
 from tidepool.runtime import stage, stage_root
+from tidepool.sources.bucketed import BucketedTable
 from tidepool.sources.dex import quote_dim
 from tidepool.sources.tables import TableStore
-from tidepool.streaming import ingest
+from tidepool.streaming import inflows, ingest, rolling
 
 
 def _hop(n: int) -> str:
@@ -88,26 +89,37 @@ def _fresh(fx: Fixtures, name: str) -> str:
     return f"{stage_root(fx.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _ingested(fx: Fixtures) -> TableStore:
-    """Creation logs land as files and are streamed into the launch table."""
+INGEST_FILES = 4
+
+
+def _in_files(df, late, order: str, path: str, files: int = INGEST_FILES) -> None:
+    """Writes ``df`` as ``files`` files in the order of ``order``; the rows that ``late`` holds come in a last one."""
+    df.filter(~late).repartitionByRange(files, order).write.parquet(path)
+    df.filter(late).coalesce(1).write.mode("append").parquet(path)
+
+
+def _ingested(fx: Fixtures) -> tuple[BucketedTable, TableStore]:
+    """Creation logs land as several files, some of them late, and are streamed into the launch table."""
     folder = _fresh(fx, "ingest")
-    fx.creation_logs().select(*schemas.RAW_LOGS.fieldNames()).write.parquet(f"{folder}/in")
+    logs = fx.creation_logs().select(*schemas.RAW_LOGS.fieldNames())
+    _in_files(logs, F.col("block_number") % 50 == 0, "block_number", f"{folder}/in")
     transactions, tokens, creations = _hex_dims(fx)
     dims = {"transactions": transactions, "tokens": tokens, "quotes": quote_dim(fx.spark), "creations": creations}
     store = TableStore(fx.spark, f"{folder}/tables")
-    ingest.stream_ingest_launches(fx.spark, f"{folder}/in", store, dims, f"{folder}/checkpoint").awaitTermination()
-    return store
+    launches = BucketedTable(fx.spark, f"{folder}/launches", schemas.LAUNCHES, bucket_blocks=10_000)
+    ingest.stream_ingest_launches(fx.spark, f"{folder}/in", store, dims, f"{folder}/checkpoint", launches=launches, files_per_batch=2).awaitTermination()
+    return launches, store
 
 
 @query("stream_ingest_launches", _BUILT)
 def streamed_launches(fx: Fixtures):
-    rows = _ingested(fx).read("launches", schemas.LAUNCHES)
+    rows = _ingested(fx)[0].read()
     return rows.select("pool_address", "dex", "token_address", "quote_address", "pair", "creator", F.col("created_at").cast("timestamp_ntz").alias("created_at"),
                        "token_created_block", F.round("token_age_at_launch_hours", 4).alias("token_age_at_launch_hours"))
 
 
 query("incremental_ingest", f"{duckdb_cte('f_pool_tokens')} SELECT concat(t.dex, '-pools') AS id, max(o.o_orderkey) AS indexed_block, 6 AS version FROM orders o JOIN f_pool_tokens t ON t.pool_address = concat('p', o.o_orderkey) GROUP BY t.dex")(
-    lambda fx: _ingested(fx).read("index_state", schemas.INDEX_STATE))
+    lambda fx: _ingested(fx)[1].read("index_state", schemas.INDEX_STATE))
 
 
 @query("stream_rolling_volume", """WITH b AS (SELECT concat('u', user_id) AS pool_address, time_bucket(INTERVAL 1 HOUR, ts) AS h, sum(CAST(round(value * 100) AS BIGINT)) AS v, count(*) AS n FROM events GROUP BY 1, 2),
@@ -127,18 +139,40 @@ def streamed_volume(fx: Fixtures):
 @query("stream_first_inflow", f"""{duckdb_cte('f_transfers')} SELECT recipient AS wallet, sender AS other, via, hash, value, ts FROM
  (SELECT *, row_number() OVER (PARTITION BY recipient, sender ORDER BY ts, via, seq) AS rn FROM f_transfers WHERE NOT is_error AND value <> 0 AND sender <> recipient) WHERE rn = 1""")
 def streamed_inflows(fx: Fixtures):
+    """Transfers arrive in several files, late ones last; the earliest per pair is kept in the state store."""
     folder = _fresh(fx, "inflows")
-    events = fx.spark.readStream.schema(fx.events.schema).parquet(f"{fx.sf_dir}/event[s].parquet")
+    _in_files(fx.events, F.col("event_id") % 7 == 3, "ts", f"{folder}/in")
+    events = fx.spark.readStream.schema(fx.events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     transfers = events.select(
-        F.concat(F.lit("u"), F.get_json_object("props", "$.k")).alias("sender"), F.concat(F.lit("u"), "user_id").alias("recipient"), "value",
+        F.concat(F.lit("u"), F.get_json_object("props", "$.k")).alias("sender"), F.concat(F.lit("u"), "user_id").alias("recipient"), F.col("value").cast("string").alias("value"),
         (F.col("event_type") == "error").alias("is_error"), F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "purchase", "internal").otherwise("external").alias("via"), F.concat(F.lit("e"), "event_id").alias("hash"), F.col("event_id").alias("seq"))
-    store = TableStore(fx.spark, f"{folder}/tables")
-    ingest.stream_first_inflow(transfers, store, f"{folder}/checkpoint").awaitTermination()
-    from pyspark.sql.types import StructType
+    inflows.stream_first_inflows(transfers, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    rows = inflows.read_first_inflows(fx.spark, f"{folder}/out")
+    return rows.select("wallet", "other", "via", "hash", F.col("value").cast("double").alias("value"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+
 
-    rows = store.read("first_inflows", StructType.fromDDL(ingest.FIRST_INFLOWS))
-    return rows.select("wallet", "other", "via", "hash", "value", F.col("ts").cast("timestamp_ntz").alias("ts"))
+_HOURLY = """b AS (SELECT concat('u', user_id) AS pool_address, time_bucket(INTERVAL 1 HOUR, ts) AS h, sum(CAST(round(value * 100) AS BIGINT)) AS v, count(*) AS n FROM events GROUP BY 1, 2),
+ x AS (SELECT pool_address, h - (i * INTERVAL 1 HOUR) AS window_start, v, n FROM b CROSS JOIN range(24) t(i))"""
+
+
+def _rolled(fx: Fixtures) -> rolling.RollingVolume:
+    """Events arrive in several files, every 50th of them in a last, late one; windows are settled half-way."""
+    folder = _fresh(fx, "rolled")
+    _in_files(fx.events, F.col("event_id") % 50 == 0, "ts", f"{folder}/in")
+    events = fx.spark.readStream.schema(fx.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    swaps = events.select(F.concat(F.lit("u"), "user_id").alias("pool_address"), F.round(F.col("value") * 100).cast("long").alias("amount"), F.col("ts").cast("timestamp").alias("ts"))
+    volume = rolling.RollingVolume(fx.spark, f"{folder}/out")
+    volume.start(swaps, f"{folder}/checkpoint").awaitTermination()
+    volume.settle()
+    return volume
+
+
+@query("stream_rolling_volume_complete", f"WITH {_HOURLY} SELECT pool_address, window_start, window_start + INTERVAL 24 HOUR AS window_end, CAST(sum(v) AS BIGINT) AS volume, CAST(sum(n) AS BIGINT) AS swaps FROM x GROUP BY 1, 2")
+def rolled_volume(fx: Fixtures):
+    """Every window, with late rows and the windows still open at the end."""
+    rows = _rolled(fx).windows()
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
 # ---- refresh batches

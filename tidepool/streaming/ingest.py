@@ -10,22 +10,28 @@ from tidepool import schemas
 from tidepool.operators import listing, market, upsert
 from tidepool.operators.decode import build_launches, decode_launches
 from tidepool.operators.funding import dedupe_first_inflow
+from tidepool.sources.bucketed import BucketedTable
 from tidepool.sources.tables import TableStore
 
 
 def stream_ingest_launches(spark: SparkSession, in_dir: str, store: TableStore, dims: dict[str, DataFrame], checkpoint: str, fmt: str = "parquet",
-                           overwrite_metrics: bool = False) -> StreamingQuery:
-    """New creation logs in ``in_dir`` are decoded and upserted into the store's launches.
+                           overwrite_metrics: bool = False, launches: BucketedTable | None = None, files_per_batch: int | None = None) -> StreamingQuery:
+    """New creation logs in ``in_dir`` are decoded and upserted into ``launches``, or without it into the store's.
 
-    Rows are written before the block checkpoint, and the upsert is keyed by pool, so a batch that
-    runs twice has the effect of one. ``dims``: transactions, tokens, quotes, creations.
+    ``launches`` rewrites only the partitions a batch touches; a table in the store is rewritten whole, which
+    suits small ones. Rows are written before the block checkpoint, and the upsert is keyed by pool, so a batch
+    that runs twice has the effect of one. ``dims``: transactions, tokens, quotes, creations.
     """
-    logs = spark.readStream.schema(schemas.RAW_LOGS).format(fmt).load(in_dir)
+    options = {} if files_per_batch is None else {"maxFilesPerTrigger": files_per_batch}
+    logs = spark.readStream.schema(schemas.RAW_LOGS).format(fmt).options(**options).load(in_dir)
 
     def save(batch: DataFrame, _batch_id: int) -> None:
         rows = build_launches(decode_launches(batch), dims["transactions"], dims["tokens"], dims["quotes"], dims["creations"])
-        merged = upsert.upsert_launches(store.read("launches", schemas.LAUNCHES), rows, overwrite_metrics)
-        store.write("launches", merged, ["dex"])
+        if launches is not None:
+            launches.merge(rows, lambda old, new: upsert.upsert_launches(old, new, overwrite_metrics))
+        else:
+            merged = upsert.upsert_launches(store.read("launches", schemas.LAUNCHES), rows, overwrite_metrics)
+            store.write("launches", merged, ["dex"])
         tips = batch.join(F.broadcast(_factories(spark)), F.lower("address") == F.col("_factory")).groupBy("dex").agg(F.max("block_number").alias("tip"))
         state = store.read("index_state", schemas.INDEX_STATE)
         fresh = tips.select(F.concat("dex", F.lit("-pools")).alias("id"), F.col("tip").alias("indexed_block"), F.lit(schemas.INDEX_VERSION).alias("version"))
