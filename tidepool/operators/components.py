@@ -1,12 +1,25 @@
-"""Connected components of many graphs at once."""
+"""Connected components of many graphs at once.
+
+Groups of up to ``GROUP_EDGES`` edges meet in one task and are solved there, many of them at a time; larger groups go
+through rounds of joins.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidepool.runtime import Staged, hot_rows, skew_join, stage_table
 
+GROUP_EDGES = 1 << 18
+SOLVED_AT_ONCE = 1 << 17  # edges
+
 
 def _stage_edges(edges: DataFrame, name: str) -> Staged:
     """Staged (a, b) pairs with their row count and an order-free fingerprint."""
@@ -29,16 +42,104 @@ def _smaller_to_parent(edges: DataFrame, rows: int) -> DataFrame:
     return moved.unionByName(parent.select("a", F.col("m").alias("b"))).distinct()
 
 
+def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node of every node's component, for nodes 0..n-1 and edges (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            break
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def _solved(table: pa.Table, group: list[str]) -> pa.RecordBatch:
+    """Components of whole groups that follow each other (columns: group..., _u, _v)."""
+    rows = table.num_rows
+    change = np.zeros(rows, bool)
+    for name in group:
+        codes = table.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        change[1:] |= codes[1:] != codes[:-1]
+    of_row = np.cumsum(change)
+    first = np.append(0, np.flatnonzero(change))
+    ends = pa.chunked_array([*table.column("_u").chunks, *table.column("_v").chunks]).combine_chunks().dictionary_encode()
+    names, order = ends.dictionary, pc.sort_indices(ends.dictionary).to_numpy()
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    key = np.concatenate([of_row, of_row]) * len(names) + rank[ends.indices.to_numpy()]
+    nodes, index = np.unique(key, return_inverse=True)
+    root = smallest_reachable(len(nodes), index[:rows], index[rows:])
+    spelled = names.take(pa.array(order[nodes % len(names)]))
+    columns = [table.column(name).combine_chunks().take(pa.array(first[nodes // len(names)])) for name in group]
+    return pa.RecordBatch.from_arrays([*columns, spelled, spelled.take(pa.array(root))], names=[*group, "node", "root"])
+
+
+def _by_group(edges: DataFrame, group: list[str]) -> DataFrame:
+    """Components of groups small enough for a task: sorted by group, solved whenever enough whole groups have come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < SOLVED_AT_ONCE:
+                continue
+            table = pa.Table.from_batches(held)
+            last = table.slice(table.num_rows - 1, 1).to_pylist()[0]
+            same = np.ones(table.num_rows, bool)
+            for name in group:
+                column = table.column(name)
+                equal = column.is_null() if last[name] is None else pc.equal(column, pa.scalar(last[name], column.type)).fill_null(False)
+                same &= equal.to_numpy().astype(bool)
+            cut = table.num_rows - int(same[::-1].argmin() if not same.all() else table.num_rows)
+            if cut:
+                yield _solved(table.slice(0, cut), group)
+                held = table.slice(cut).to_batches()
+                size = table.num_rows - cut
+        if size:
+            yield _solved(pa.Table.from_batches(held), group)
+
+    node = edges.schema["_u"].dataType
+    schema = StructType([*[edges.schema[g] for g in group], StructField("node", node), StructField("root", node)])
+    ordered = edges.repartition(*group).sortWithinPartitions(*group)
+    return ordered.mapInArrow(run, schema)
+
+
 def connected_components(edges: DataFrame, group: list[str], u: str = "wallet", v: str = "funder") -> DataFrame:
     """(group..., node, root) for every node of an undirected edge table, one graph per group value.
 
-    ``root`` is the smallest node of the component. Nodes get integer ids that order like
-    (group, node), so the loop works on pairs of longs and the smallest id is the smallest node.
-    The loop alternates large-star and small-star steps (Kiveris et al., SoCC 2014) until the edge set
-    is a forest of stars; each round is a staged table and the previous one is dropped.
+    ``root`` is the smallest node of the component. Edges without one of their ends are ignored.
     """
-    limit = hot_rows(edges.sparkSession)
     pairs = edges.select(*group, F.col(u).alias("_u"), F.col(v).alias("_v")).filter("_u <> _v")
+    staged = stage_table(pairs, "cc-pairs", rows=F.count(F.lit(1)))
+    if (staged.metrics["rows"] or 0) <= GROUP_EDGES:  # so is every group
+        return _by_group(staged.df, group)
+    counted = staged.df.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > GROUP_EDGES).drop("_n")
+    numbered = counted.withColumn("_g", F.monotonically_increasing_id())
+    large = stage_table(numbered, "cc-groups", n=F.count(F.lit(1)))  # at most one per GROUP_EDGES edges
+    if not large.metrics["n"]:
+        return _by_group(staged.df, group)
+    match = [F.col(g).eqNullSafe(F.col(f"_large_{g}")) for g in group]
+    listed = F.broadcast(large.df.withColumnsRenamed({g: f"_large_{g}" for g in group}))
+    small = _by_group(staged.df.join(listed, match, "left_anti"), group)
+    rest = _by_rounds(staged.df.join(listed, match).select("_g", "_u", "_v"), ["_g"])
+    return small.unionByName(rest.join(F.broadcast(large.df), "_g").select(*group, "node", "root"))
+
+
+def _by_rounds(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """Components of groups of any size. ``pairs``: group..., _u, _v.
+
+    Nodes get integer ids that order like (group, node), so the loop works on pairs of longs and the
+    smallest id is the smallest node. The loop alternates large-star and small-star steps (Kiveris et
+    al., SoCC 2014) until the edge set is a forest of stars; each round is a staged table and the
+    previous one is dropped.
+    """
+    limit = hot_rows(pairs.sparkSession)
     ends = pairs.select(*group, F.col("_u").alias("node")).unionByName(pairs.select(*group, F.col("_v").alias("node"))).distinct()
     ordered = ends.repartitionByRange(*group, "node").sortWithinPartitions(*group, "node")
     nodes = stage_table(ordered.withColumn("id", F.monotonically_increasing_id()), "cc-nodes").df

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ from tidepool.schemas import (
 )
 
 POOL = "pool_address"
+RING_ROWS = 1 << 18  # (funder, trader) memberships that one task decides
 
 
 def trader_activity(pool_swaps: DataFrame) -> DataFrame:
@@ -207,10 +210,11 @@ def coordinated_rings(classified: DataFrame, edges: DataFrame, min_size: int = M
 
     The rule is greedy: funders in order of total group size (ties: whoever's first trader ranks
     higher, then funder position) take the traders no earlier ring has; fewer than ``min_size`` fresh
-    traders make no ring. In parallel: a funder may decide as soon as it is the first undecided funder
-    of all its fresh traders, and a funder whose fresh traders fell below ``min_size`` can be struck off
-    at any time, because they only ever get fewer. Each round decides at least the first funder of
-    every pool, and all non-conflicting ones with it.
+    traders make no ring. Pools of up to ``RING_ROWS`` memberships are decided in one task each. Of larger
+    ones, first the components of funders and traders are found and decided in one task each. What is
+    left are components beyond that, decided in rounds: a funder may decide as soon as it is the first
+    undecided funder of all its fresh traders, and one whose fresh traders fell below ``min_size`` can be
+    struck off at any time, because they only ever get fewer.
 
     ``edges``: the pools' flagged edges (``PoolGraph.edges``).
     """
@@ -229,7 +233,57 @@ def coordinated_rings(classified: DataFrame, edges: DataFrame, min_size: int = M
         F.col("lead.first_block").alias("_block"), F.col("lead.first_log_index").alias("_log"),
         F.col("lead.trader").alias("_trader"), F.col("lead.position").alias("_position"),
     )
-    open_rows = stage_table(members.select(POOL, "trader", "funder").join(groups, [POOL, "funder"]), "ring-members")
+    wanted = stage_table(members.select(POOL, "trader", "funder").join(groups, [POOL, "funder"]), "ring-members", rows=F.count(F.lit(1)))
+    rows = wanted.df
+    if (wanted.metrics["rows"] or 0) > RING_ROWS:
+        rows, rest = _split(rows, [POOL])
+        if rest is not None:
+            # Funders and traders that no chain of shared members connects decide independently.
+            linked = connected_components(rest.select(POOL, F.concat(F.lit("f"), "funder").alias("u"), F.concat(F.lit("t"), "trader").alias("v")), [POOL], "u", "v")
+            roots = linked.filter("substr(node, 1, 1) = 't'").select(POOL, F.substring("node", 2, 1 << 30).alias("trader"), "root")
+            parts = stage(skew_join(rest, roots, [POOL, "trader"]), "ring-parts")
+            medium, large = _split(parts, [POOL, "root"])
+            solved = _greedy_rings(rows, [POOL], order, min_size).unionByName(_greedy_rings(medium, [POOL, "root"], order, min_size))
+            rings = solved if large is None else solved.unionByName(_rings_by_rounds(large.drop("root"), order, min_size))
+        else:
+            rings = _greedy_rings(rows, [POOL], order, min_size)
+    else:
+        rings = _greedy_rings(rows, [POOL], order, min_size)
+    rings = stage(rings, "rings")
+    heads = number_rows(rings.select(POOL, *order).distinct(), [POOL], order, "ring_id").select(POOL, "funder", "ring_id")
+    return rings.join(heads, [POOL, "funder"]).select(POOL, "ring_id", "funder", "trader")
+
+
+def _split(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of at most ``RING_ROWS`` rows, and the others (None if there are none)."""
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > RING_ROWS).drop("_n")
+    large = stage_table(counted, "ring-large", n=F.count(F.lit(1)))  # at most one per RING_ROWS rows
+    if not large.metrics["n"]:
+        return rows, None
+    return rows.join(F.broadcast(large.df), keys, "left_anti"), rows.join(F.broadcast(large.df), keys, "left_semi")
+
+
+def _greedy_rings(rows: DataFrame, keys: list[str], order: list[str], min_size: int) -> DataFrame:
+    """The rule as it is stated, group by group: rows of the funders' fresh traders."""
+    columns = [POOL, "funder", "trader", *[c for c in order if c != "funder"]]
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        ordered = group.sort_values(order, kind="stable")
+        taken: set[str] = set()
+        keep = []
+        for _, own in ordered.groupby("funder", sort=False):
+            fresh = ~own["trader"].isin(taken) if taken else np.ones(len(own), bool)
+            if fresh.sum() >= min_size:
+                keep.append(own[fresh])
+                taken.update(own["trader"][fresh])
+        return pd.concat(keep)[columns] if keep else group.iloc[:0][columns]
+
+    return rows.select(*{*keys, *columns}).groupBy(*keys).applyInPandas(solve, rows.select(*columns).schema)
+
+
+def _rings_by_rounds(rows: DataFrame, order: list[str], min_size: int) -> DataFrame:
+    """The same for components too large for a task: each round decides every funder that nothing before it can affect."""
+    open_rows = stage_table(rows, "ring-members")
     taken = []
     while not open_rows.df.isEmpty():
         current = open_rows.df
@@ -245,14 +299,10 @@ def coordinated_rings(classified: DataFrame, edges: DataFrame, min_size: int = M
         open_rows.drop()
         decided.drop()
         open_rows = following
-    if not taken:
-        empty = open_rows.df.select(POOL, F.lit(0).cast("long").alias("ring_id"), "funder", "trader")
-        return empty
-    rows = taken[0]
-    for more in taken[1:]:
-        rows = rows.unionByName(more)
-    heads = number_rows(rows.select(POOL, *order).distinct(), [POOL], order, "ring_id").select(POOL, "funder", "ring_id")
-    return rows.join(heads, [POOL, "funder"]).select(POOL, "ring_id", "funder", "trader")
+    found = open_rows.df
+    for more in taken:
+        found = found.unionByName(more)
+    return found.select(POOL, "funder", "trader", *[c for c in order if c != "funder"])
 
 
 def _descending(df: DataFrame, key: Column) -> Column:
