@@ -10,6 +10,9 @@
    where two differ, no byte is read, where they are equal only the bytes after it are.
 5. In the merged order suffixes with a common prefix of a gram are neighbours; among these every window that an
    earlier one has too marks its bytes.
+6. A gram that fills a range of its own takes no part in 3 to 5: its windows go by their hash instead, after each run
+   has kept the earliest of equal ones, so no task holds all places of a gram. Ranges grow in number with the data:
+   beyond ``RANGES`` of them grams are dealt to sections by hash, each with the same splitters.
 
 Texts that repeat in full are one text from step 1 on (all rows but the first are repeats), so copies cost nothing.
 
@@ -28,15 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.tokens import mixed, powers, prefix_hash, text_chunks
-from tidepool.runtime import stage, stage_table
+from tidepool.runtime import skew_join, stage, stage_table
 
 LENGTH = 100
 GRAM = 40
 REACH = LENGTH - GRAM  # a window starts at most so far before its anchor
 RUN = 1 << 17  # suffixes of a run
 RANGE = 1 << 16  # suffixes of a range, about
-RANGES = 1 << 14
-LOW = (1 << 24) - 1
+RANGES = 1 << 14  # ranges of a section
+WINDOWED = 1 << 14  # suffixes of a common gram whose windows are held at once
 WIDTH = LENGTH + 1 + REACH + 1  # right context, its length, left context (backwards), its length
 
 
@@ -69,7 +72,11 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _repeated_anchors(texts: DataFrame) -> DataFrame:
-    """(th40, at): anchors whose gram has another place. ``texts``: th, text."""
+    """(th, at): anchors whose gram has another place. ``texts``: th, text.
+
+    Where a chunk has a gram at several places, these are repeated for sure and one of them stands for all in the
+    exchange, so a common gram brings a row per chunk.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -84,15 +91,27 @@ def _repeated_anchors(texts: DataFrame) -> DataFrame:
                     new[k] = name not in seen
                     seen.add(name)
                 keep = new[doc]
-                place = (own[doc] & ~LOW) | ((at - offsets[doc]) & LOW)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(place[keep])], names=["gram", "place"])
+                at, grams, th = (at - offsets[doc])[keep], grams[keep], own[doc][keep]
+                order = np.argsort(grams, kind="stable")
+                at, grams, th = at[order], grams[order], th[order]
+                first = np.append(True, grams[1:] != grams[:-1])[: len(grams)]
+                several = ~first | np.append(~first[1:], False)[: len(grams)]
+                # The rows for sure are dealt by place; of each gram one row more is dealt by the gram.
+                salt = mixed(th.view(np.uint64) ^ mixed(at.astype(np.uint64)))
+                key = np.concatenate([grams[first], salt[several]]).view(np.int64)
+                columns = [key, np.concatenate([th[first], th[several]]), np.concatenate([at[first], at[several]]), np.append(np.zeros(int(first.sum()), bool), np.ones(int(several.sum()), bool))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "th", "at", "sure"])
 
     def keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A gram's rows are sorted by place: a row is repeated if a neighbour has its gram and another place.
-        before: tuple[int, int] | None = None  # the last row of the batch before
+        before: tuple[int, ...] | None = None  # the last row of the batch before
         matched = False  # and whether it has been given out
         for batch in batches:
-            rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+            rows = np.stack([batch.column(k).to_numpy() for k in (0, 1, 2)], axis=1)
+            sure = np.array(batch.column(3).to_pylist(), bool)
+            given, rows = rows[sure], rows[~sure]
+            if len(given):
+                yield pa.RecordBatch.from_arrays([pa.array(given[:, 1]), pa.array(given[:, 2])], names=["th", "at"])
             if not len(rows):
                 continue
             if before is not None:
@@ -103,11 +122,10 @@ def _repeated_anchors(texts: DataFrame) -> DataFrame:
             out[0] &= not matched
             matched = bool(out[-1]) or (len(rows) == 1 and matched)
             before = tuple(rows[-1].tolist())
-            places = rows[out, 1]
-            yield pa.RecordBatch.from_arrays([pa.array(places & ~LOW), pa.array((places & LOW).astype(np.int32))], names=["th40", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[out, 1]), pa.array(rows[out, 2])], names=["th", "at"])
 
-    found = texts.mapInArrow(find, "gram long, place long").repartition("gram").sortWithinPartitions("gram", "place")
-    return found.mapInArrow(keep_repeated, "th40 long, at int")
+    found = texts.mapInArrow(find, "key long, th long, at long, sure boolean").repartition("key").sortWithinPartitions("key", "th", "at")
+    return found.mapInArrow(keep_repeated, "th long, at long")
 
 
 def _contexts(data: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
@@ -214,10 +232,8 @@ def _repeats(rows: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray,
     order = np.lexsort((places[:, 2], places[:, 1], places[:, 0]))
     rows, places = rows[order], places[order]
     n = len(rows)
-    text = np.concatenate([rows[:, LENGTH + 1 : -1][:, ::-1], rows[:, :LENGTH]], axis=1).astype(np.uint64) + np.uint64(1)
-    raised, inverse = powers(REACH + LENGTH + 1)
-    sums = np.zeros((n, REACH + LENGTH + 1), np.uint64)
-    np.cumsum(text * raised[None, :-1], axis=1, out=sums[:, 1:], dtype=np.uint64)
+    sums = _window_hashes(rows)
+    _, inverse = powers(REACH + LENGTH + 1)
     alike = np.zeros(n, bool)  # the same place as the row before (rows that repeat in full)
     alike[1:] = (places[1:] == places[:-1]).all(axis=1)
     identity = np.cumsum(~alike)
@@ -236,9 +252,55 @@ def _repeats(rows: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray,
     yield order[hit], places[hit, 2] - longest[hit], places[hit, 2] - shortest[hit] + LENGTH
 
 
+def _window_hashes(rows: np.ndarray) -> np.ndarray:
+    """Prefix sums of every row's left and right context, in the order of the text."""
+    text = np.concatenate([rows[:, LENGTH + 1 : -1][:, ::-1], rows[:, :LENGTH]], axis=1).astype(np.uint64) + np.uint64(1)
+    raised, _ = powers(REACH + LENGTH + 1)
+    sums = np.zeros((len(rows), REACH + LENGTH + 1), np.uint64)
+    np.cumsum(text * raised[None, :-1], axis=1, out=sums[:, 1:], dtype=np.uint64)
+    return sums
+
+
+def _gram_names(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows[:, :GRAM]).view(f"S{GRAM}").reshape(-1)
+
+
+def _gram_hashes(rows: np.ndarray) -> np.ndarray:
+    raised, _ = powers(GRAM)
+    return mixed(((rows[:, :GRAM].astype(np.uint64) + np.uint64(1)) * raised[None, :]).sum(axis=1, dtype=np.uint64))
+
+
+def _placed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contexts and places (id, th, position) of the anchors of all texts, about ``size`` at once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for doc_id, th, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "at")), strict=True):
+            data = np.frombuffer((text or "").encode(), np.uint8)
+            at = np.sort(np.array(at, np.int64))
+            at = at[at <= len(data) - GRAM]  # texts of one hash share their anchors
+            for k in range(0, len(at), size):
+                part = at[k : k + size]
+                place = np.empty((len(part), 3), np.int64)
+                place[:, 0], place[:, 1], place[:, 2] = -(1 << 63) if doc_id is None else doc_id, th, part
+                held.append((_contexts(data, len(data), part), place))
+                if sum(len(p) for _, p in held) >= size:
+                    yield np.concatenate([r for r, _ in held]), np.concatenate([p for _, p in held])
+                    held = []
+    if held:
+        yield np.concatenate([r for r, _ in held]), np.concatenate([p for _, p in held])
+
+
+SPANS = "doc_id long, th long, start long, end long"
+
+
+def _span_batch(doc_id: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(th), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "th", "start", "end"])
+
+
 def _spans(suspects: DataFrame, total: int) -> DataFrame:
     """(doc_id, th, start, end) of repeated bytes. ``suspects``: doc_id, th, text, at (anchors)."""
-    ranges = int(min(RANGES, max(1, -(-total // RANGE))))
+    wanted = max(1, -(-total // RANGE))
+    sections, ranges = -(-wanted // RANGES), min(RANGES, wanted)
     chance = min(1.0, 64.0 * ranges / max(1, total))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,30 +312,18 @@ def _spans(suspects: DataFrame, total: int) -> DataFrame:
                 out += [raw[p : p + GRAM] for p in drawn.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["gram"])
 
-    splitters = np.zeros(0, f"S{GRAM}")
-    if ranges > 1:  # about 64 grams per range
+    splitters = common = np.zeros(0, f"S{GRAM}")
+    if ranges > 1:  # about 64 grams per range, at most a million
         drawn = np.sort(np.array([bytes(r["gram"]) for r in suspects.mapInArrow(sample, "gram binary").toLocalIterator()], f"S{GRAM}"))
-        splitters = np.unique(drawn[np.arange(1, ranges) * len(drawn) // ranges]) if len(drawn) else splitters
+        if len(drawn):
+            splitters, times = np.unique(drawn[np.arange(1, ranges) * len(drawn) // ranges], return_counts=True)
+            common = splitters[times > 1]
 
     def make_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for doc_id, th, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "at")), strict=True):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                at = np.array(at, np.int64)
-                if len(data) > LOW:
-                    at = (at[:, None] + np.arange(0, len(data), LOW + 1)[None, :]).reshape(-1)
-                    at = at[at < len(data)]
-                for k in range(0, len(at), RUN):
-                    part = np.sort(at[k : k + RUN])
-                    place = np.empty((len(part), 3), np.int64)
-                    place[:, 0], place[:, 1], place[:, 2] = -(1 << 63) if doc_id is None else doc_id, th, part
-                    held.append((_contexts(data, len(data), part), place))
-                    if sum(len(p) for _, p in held) >= RUN:
-                        yield from _ship(held, splitters)
-                        held = []
-        if held:
-            yield from _ship(held, splitters)
+        for rows, places in _placed(batches, RUN):
+            plain = ~np.isin(_gram_names(rows), common) if len(common) else np.ones(len(rows), bool)
+            if plain.any():
+                yield from _ship(rows[plain], places[plain], splitters, sections, ranges)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: list[bytes] = []
@@ -287,17 +337,77 @@ def _spans(suspects: DataFrame, total: int) -> DataFrame:
                 if block is not None:
                     blocks.append(block)
                 if doc_id:
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(th), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "th", "start", "end"])
+                    yield _span_batch(doc_id, th, start, end)
         if blocks:
             yield from _merged(blocks)
 
     shipped = suspects.mapInArrow(make_runs, "range int, block binary, doc_id array<long>, th array<long>, start array<long>, end array<long>")
-    return shipped.repartitionById(ranges, F.col("range")).sortWithinPartitions("range").mapInArrow(merge, "doc_id long, th long, start long, end long")
+    spans = shipped.repartitionById(sections * ranges, F.col("range")).sortWithinPartitions("range").mapInArrow(merge, SPANS)
+    return spans.unionByName(_common_spans(suspects, common)) if len(common) else spans
+
+
+def _common_spans(suspects: DataFrame, common: np.ndarray) -> DataFrame:
+    """The same for suffixes that start with one of the ``common`` grams (sorted), by an exchange of window hashes."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, places in _placed(batches, WINDOWED):
+            own = np.isin(_gram_names(rows), common)
+            if not own.any():
+                continue
+            rows, places = rows[own], places[own]
+            order = np.lexsort((places[:, 2], places[:, 1], places[:, 0]))
+            rows, places = rows[order], places[order]
+            sums, grams = _window_hashes(rows), _gram_hashes(rows)
+            _, inverse = powers(REACH + LENGTH + 1)
+            shortest, longest = np.full(len(rows), LENGTH), np.full(len(rows), -1)
+            out: list[list[np.ndarray]] = [[], [], []]
+            for shift in range(REACH + 1):
+                ok = np.flatnonzero((rows[:, -1] >= shift) & (rows[:, LENGTH] >= LENGTH - shift))
+                hashed = mixed(((sums[ok, REACH - shift + LENGTH] - sums[ok, REACH - shift]) * inverse[REACH - shift]) ^ grams[ok])
+                by = np.argsort(hashed, kind="stable")
+                new = np.append(True, hashed[by][1:] != hashed[by][:-1])[: len(by)]
+                first = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+                again = ok[by[(places[ok[by]] != places[ok[by[first]]]).any(axis=1)]]
+                shortest[again] = np.minimum(shortest[again], shift)
+                longest[again] = shift
+                lead = by[new]
+                for column, values in zip(out, (hashed[lead].view(np.int64), ok[lead], np.full(len(lead), shift)), strict=True):
+                    column.append(values)
+            hashed, row, shift = (np.concatenate(c) for c in out)
+            hit = np.flatnonzero(longest >= 0)
+            key = np.append(hashed, mixed(places[hit, 1].view(np.uint64) ^ mixed(places[hit, 2].astype(np.uint64))).view(np.int64))
+            doc_id, th = np.append(places[row, 0], places[hit, 0]), np.append(places[row, 1], places[hit, 1])
+            start = np.append(places[row, 2] - shift, places[hit, 2] - longest[hit])
+            end = np.append(places[row, 2] - shift + LENGTH, places[hit, 2] - shortest[hit] + LENGTH)
+            sure = np.append(np.zeros(len(row), bool), np.ones(len(hit), bool))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, doc_id, th, start, end, sure)], names=["key", "doc_id", "th", "start", "end", "sure"])
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of equal windows all but the one of the least place are repeats.
+        first: np.ndarray | None = None
+        for batch in batches:
+            rows = np.stack([batch.column(k).to_numpy() for k in range(5)], axis=1)
+            sure = np.array(batch.column(5).to_pylist(), bool)
+            if sure.any():
+                yield _span_batch(*rows[sure, 1:].T)
+            rows = rows[~sure]
+            if not len(rows):
+                continue
+            if first is not None:
+                rows = np.concatenate([first[None, :], rows])
+            new = np.append(True, rows[1:, 0] != rows[:-1, 0])
+            lead = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+            again = (rows[:, 1:4] != lead[:, 1:4]).any(axis=1)
+            if again.any():
+                yield _span_batch(*rows[again, 1:].T)
+            first = lead[-1]
 
+    sent = suspects.mapInArrow(windows, "key long, doc_id long, th long, start long, end long, sure boolean")
+    return sent.repartition("key").sortWithinPartitions("key", "doc_id", "th", "start").mapInArrow(later, SPANS)
 
-def _ship(held: list[tuple[np.ndarray, np.ndarray]], splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def _ship(rows: np.ndarray, places: np.ndarray, splitters: np.ndarray, sections: int, per_section: int) -> Iterator[pa.RecordBatch]:
     """One front-coded piece of the run per range; suffixes that an earlier one of the run equals go as repeats."""
-    rows, places = np.concatenate([r for r, _ in held]), np.concatenate([p for _, p in held])
     names = rows.view(f"S{WIDTH}").reshape(-1)
     by_place = np.lexsort((places[:, 2], places[:, 1], places[:, 0]))
     order = by_place[np.argsort(names[by_place], kind="stable")]
@@ -308,12 +418,15 @@ def _ship(held: list[tuple[np.ndarray, np.ndarray]], splitters: np.ndarray) -> I
     start = np.maximum(0, places[:, 2] - rows[:, -1].astype(np.int64))
     end = places[:, 2] + rows[:, LENGTH].astype(np.int64)
     again &= end - start >= LENGTH
-    grams = np.ascontiguousarray(rows[:, :GRAM]).view(f"S{GRAM}").reshape(-1)
-    ranges = np.searchsorted(splitters, grams, "right")
+    ranges = np.searchsorted(splitters, _gram_names(rows), "right")
+    if sections > 1:
+        ranges = ranges + per_section * (_gram_hashes(rows) % np.uint64(sections)).astype(np.int64)
+    by_range = np.argsort(ranges, kind="stable")
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(ranges[by_range]) != 0)), len(ranges))
     out = []
-    for r in np.unique(ranges).tolist():
-        lo, hi = np.searchsorted(ranges, [r, r + 1])
-        kept, done = np.flatnonzero(new[lo:hi]) + lo, np.flatnonzero(again[lo:hi]) + lo
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = by_range[lo:hi]
+        r, kept, done = int(ranges[own[0]]), own[new[own]], own[again[own]]
         out.append({
             "range": r, "block": _front_coded(rows[kept], places[kept]), "doc_id": places[done, 0], "th": places[done, 1], "start": start[done], "end": end[done],
         })
@@ -375,18 +488,22 @@ def _cut(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, th long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def _alike(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay) per document."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", _text_hash(F.col("text")))
     slim = stage(rows.select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole")), "dedup-slim")
-    owner = slim.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("o")).select("th", F.col("o.doc_id").alias("owner"))
+    owner = slim.groupBy("th", "whole").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("o")).select("th", "whole", F.col("o.doc_id").alias("owner"))
 
-    anchors = _repeated_anchors(rows.select("th", "text")).groupBy("th40").agg(F.collect_list("at").alias("at"))
-    listed = anchors.join(owner.withColumn("th40", F.col("th").bitwiseAND(F.lit(~LOW))), "th40").select(F.col("th").alias("_th"), "owner", "at")
+    anchors = _repeated_anchors(rows.select("th", "text")).groupBy("th").agg(F.collect_set("at").alias("at"))
+    listed = anchors.join(owner, "th").select(F.col("th").alias("_th"), "owner", "at")
     suspects = stage_table(
         rows.join(listed, (F.col("th") == F.col("_th")) & _alike("doc_id", "owner")).select("doc_id", "th", "text", "at"), "dedup-suspects", n=F.sum(F.size("at"))
     )
@@ -395,7 +512,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     texts = suspects.df.select("doc_id", "th", "text").join(spans, _alike("doc_id", "_d") & (F.col("th") == F.col("_t")))
     done = _cut(texts.select("doc_id", "th", "text", "spans")).dropDuplicates(["doc_id", "th"]).withColumnsRenamed({"doc_id": "_d", "th": "_t"})
 
-    judged = slim.join(owner, "th").withColumn("copy", ~_alike("doc_id", "owner") & (F.col("n_bytes") >= LENGTH))
+    judged = skew_join(slim, owner, ["th", "whole"]).withColumn("copy", ~_alike("doc_id", "owner") & (F.col("n_bytes") >= LENGTH))
     judged = judged.join(done, _alike("doc_id", "_d") & (F.col("th") == F.col("_t")), "left")
     pick = lambda whole, part, none: F.when(F.col("copy"), whole).otherwise(F.coalesce(part, none))
     return judged.select(
