@@ -8,10 +8,11 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.functions.words import exact_total, limbs_number, u256_limbs
-from tidepool.operators import intel, market, realvolume
+from tidepool.functions.words import exact_total, limbs_hex, limbs_number, u256_limbs
+from tidepool.operators import intel, market, realvolume, research
 from tidepool.operators.asof import asof_join
-from tidepool.sources.dex import SWAP_V2, SWAP_V3
+from tidepool.operators.decode import decode_launches, tag_swaps
+from tidepool.sources.dex import DEXES, SWAP_V2, SWAP_V3, DexSpec
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -117,3 +118,53 @@ def test_prices_as_of_fall_back_and_expire(spark):
     assert [got["N", m] for m in (-1, 0, 9, 10, 31, 40)] == [None, 10.0, 10.0, 9.0, 9.0, None]
     assert [got["x", m] for m in (-1, 0, 9, 10, 31, 40)] == [None, 2.0, 2.0, 3.0, 3.0, None]
     assert {got["s", m] for m in (-1, 40)} == {1.0}
+
+
+def test_a_fourth_exchange_is_one_list_entry(spark):
+    """Another order of words, another recipient topic, the pool in the third word, balances instead of reserves."""
+    new = DexSpec(
+        id="fourth", label="Fourth", factory="0x" + "44" * 20, launch_topic="0x" + "4a" * 32, swap_topic="0x" + "4b" * 32, signed_swaps=False,
+        pool_types=(("volatile", "Volatile"),), pool_word=2, pool_kind="flag", swap_in=(1, 3), swap_out=(0, 2), swap_words=6, recipient_topic=1, reserve="balance",
+    )
+    specs = [*DEXES, new]
+    log = "address STRING, topics ARRAY<STRING>, data STRING, block_number BIGINT, time_stamp BIGINT, tx_hash STRING, log_index BIGINT"
+    words = lambda *n: "0x" + "".join(map(hex_word, n))
+    topic = lambda k: "0x" + hex_word(k)
+    made = spark.createDataFrame([
+        (new.factory, [new.launch_topic, topic(1), topic(2), topic(1)], words(0, 0, 77), 5, 0, "0xT", 0), (new.factory, [new.launch_topic, topic(1), topic(2), topic(0)], words(0, 0), 6, 0, "0xT", 1),
+        (DEXES[0].factory, [DEXES[0].launch_topic, topic(1), topic(2)], words(88, 0), 7, 0, "0xT", 2),
+    ], log)
+    rows = decode_launches(made, specs).orderBy("log_index").select("dex", "pool_address", "pool_type").collect()
+    assert [tuple(r) for r in rows] == [("fourth", f"0x{77:040x}", "stable"), ("fourth", None, "volatile"), ("uniswap-v2", f"0x{88:040x}", "volatile")]
+    swaps = spark.createDataFrame([
+        ("0xp", [new.swap_topic, topic(9)], words(0, 2**100, 5, 0, 0, 0), 1, 0, "0xa", 0),  # token0 in
+        ("0xp", [new.swap_topic, topic(9)], words(3, 0, 0, 6, 0, 0), 1, 0, "0xb", 1),  # token0 out
+        ("0xp", [new.swap_topic, topic(9)], words(3, 0, 0, 6, 0), 1, 0, "0xc", 2),  # a word short
+        ("0xp", [SWAP_V2, topic(1), topic(7)], words(4, 0, 0, 6), 1, 0, "0xd", 3), ("0xp", [SWAP_V3, topic(1), topic(7)], words(-4, 9, 0, 0, 0), 1, 0, "0xe", 4),
+    ], log)
+
+    def tagged(first):
+        done = tag_swaps(swaps, F.lit(first), specs).orderBy("log_index").select("side", limbs_hex(F.col("quote_limbs")).alias("q"), "recipient").collect()
+        return [(r["side"], r["q"] and int(r["q"], 16), r["recipient"] and int(r["recipient"], 16)) for r in done]
+
+    assert tagged(True) == [("buy", 2**100, 9), ("sell", 3, 9), (None, None, None), ("buy", 4, 7), ("sell", 4, 7)]
+    assert tagged(False) == [("sell", 5, 9), ("buy", 6, 9), (None, None, None), ("sell", 6, 7), ("buy", 9, 7)]
+    pools = spark.createDataFrame([("a", "fourth", False), ("b", "uniswap-v2", False), ("c", "uniswap-v2", True), ("d", "uniswap-v3", True), ("e", "aerodrome", True)], "pool_address STRING, dex STRING, quote_is_token0 BOOLEAN")
+    readings = spark.createDataFrame(
+        [(p, at, 0, kind, hex_word(2**111 + at), hex_word(2**100 + at) if kind == "pair" else None) for p in "abcd" for kind in ("pair", "balance") for at in (1, 2, 3)],
+        "pool_address STRING, at INT, seq INT, kind STRING, word0 STRING, word1 STRING")
+    got = {r["pool_address"]: int(r["q"], 16) for r in market.quote_reserves(pools, readings, F.lit(2), specs).select("pool_address", limbs_hex(F.col("quote_reserve_limbs")).alias("q")).collect()}
+    assert got == {"a": 2**111 + 2, "b": 2**100 + 2, "c": 2**111 + 2, "d": 2**111 + 2}
+
+
+def test_research_counts_see_past_the_rows_shown(spark):
+    """A tagged bot behind 400 closer connections still counts."""
+    edges = [(f"w{i:03d}", "seed", "external", f"h{i}", 1) for i in range(400)] + [("zz", "w399", "external", "hz", 1)]
+    edges = spark.createDataFrame(edges, "wallet STRING, funder STRING, via STRING, tx_hash STRING, position BIGINT")
+    labels = spark.createDataFrame([("zz", "rug-bot"), ("w001", "watch")], "address STRING, kind STRING")
+    bots = labels.filter("kind = 'rug-bot'").select("address")
+    walk = research.research_walk(spark.createDataFrame([("SEED",)], "seed STRING"), edges, 3)
+    clustered = research.research_components(walk, edges, bots, 10_000, [])
+    row = research.research_counts(clustered, walk, labels).first()
+    assert (row["connection_count"], row["cluster_members"], row["linked_rug_bot_count"], row["rug_connected"], row["wallets_explored"], row["label"]) == (401, 401, 1, True, 402, None)
+    assert [tuple(r) for r in research.linked_bots(clustered, labels).collect()] == [("seed", "zz", 2, True)]

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import fee_label, token_age_hours
-from tidepool.functions.words import ZERO_WORD, is_negative, magnitude_limbs, magnitude_word, word, word_address, word_chunks
+from tidepool.functions.words import ZERO_WORD, is_negative, magnitude_limbs, magnitude_word, word_address, word_chunks
 from tidepool.runtime import skew_join
-from tidepool.sources.dex import DEXES, POOL_CREATED_FEE, POOL_CREATED_STABLE, SWAP_AERODROME, SWAP_V2, SWAP_V3, DexSpec, is_known_quote, quote_token
+from tidepool.sources.dex import DEXES, DexSpec, is_known_quote, per_dex, quote_token
 
 
 def decode_launches(logs: DataFrame, specs: list[DexSpec] | DexSpec | None = None) -> DataFrame:
@@ -20,36 +20,46 @@ def decode_launches(logs: DataFrame, specs: list[DexSpec] | DexSpec | None = Non
         dex = F.when((F.lower("address") == spec.factory) & (topics[0] == spec.launch_topic), F.lit(spec.id)).otherwise(dex)
     fee = F.conv(F.right(topics[3], F.lit(8)), 16, 10).cast("long")
     stable = F.right(topics[3], F.lit(64)) != ZERO_WORD
-    by_fee, by_curve = topics[0] == POOL_CREATED_FEE, topics[0] == POOL_CREATED_STABLE
+    known = F.col("dex")
+    kind = per_dex(specs, known, lambda spec: spec.id, lambda spec: spec.pool_kind)
+    by_fee, curved = kind == "fee", (kind == "flag") & stable
+    word_at = per_dex(specs, known, lambda spec: spec.id, lambda spec: 3 + 64 * spec.pool_word)
+    pool = F.when(F.length(data) >= word_at + 63, word_address(F.substr(data, word_at, F.lit(64))))
     return logs.filter(topics[0].isin([spec.launch_topic for spec in specs])).withColumn("dex", dex).filter("dex IS NOT NULL").select(
         "dex",
         word_address(topics[1]).alias("token0"),
         word_address(topics[2]).alias("token1"),
-        word_address(word(data, 0)).alias("_pool0"),
-        word_address(word(data, 1)).alias("_pool1"),
-        by_fee.alias("_by_fee"),
-        F.when(by_fee, fee.cast("string")).when(by_curve & stable, F.lit("stable")).otherwise(F.lit("volatile")).alias("pool_type"),
-        F.when(by_fee, fee_label(fee)).when(by_curve & stable, F.lit("Stable")).otherwise(F.lit("Volatile")).alias("pool_type_label"),
+        F.when(by_fee, fee.cast("string")).when(curved, F.lit("stable")).otherwise(F.lit("volatile")).alias("pool_type"),
+        F.when(by_fee, fee_label(fee)).when(curved, F.lit("Stable")).otherwise(F.lit("Volatile")).alias("pool_type_label"),
         "block_number", "time_stamp", F.lower("tx_hash").alias("tx_hash"), "log_index",
-    ).withColumn("pool_address", F.when(F.col("_by_fee"), F.col("_pool1")).otherwise(F.col("_pool0"))).drop("_pool0", "_pool1", "_by_fee")
+        pool.alias("pool_address"),
+    )
 
 
-def tag_swaps(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
+def tag_swaps(logs: DataFrame, quote_is_token0: Column, specs: list[DexSpec] | None = None) -> DataFrame:
     """Every swap log of every exchange with side, quote limbs and recipient; NULL when undecodable.
 
-    The quote token's own words are words 0/2 when it is token0, else 1/3. Constant-product swaps hold
-    amount-in then amount-out, signed-delta swaps a single signed amount, so the first word serves both.
+    Constant-product swaps hold amount-in and amount-out of either token, signed-delta swaps a single
+    signed amount, which stands where the amount-in would. Layouts come from ``specs``.
     """
-    topics, data = [F.get("topics", F.lit(i)) for i in range(3)], F.col("data")
-    signed = topics[0] == SWAP_V3
-    usable = topics[0].isin(SWAP_V2, SWAP_AERODROME, SWAP_V3) & (F.size("topics") >= 3) & (
-        F.length(data) >= F.when(signed, 2 + 5 * 64).otherwise(2 + 4 * 64)
+    specs = DEXES if specs is None else specs
+    data, topic = F.col("data"), F.get("topics", F.lit(0))
+
+    def own(value):
+        return per_dex(specs, topic, lambda spec: spec.swap_topic, value)
+
+    def word_of(words):
+        """The quote token's own word: one of two places."""
+        return F.substr(data, F.when(quote_is_token0, own(lambda spec: 3 + 64 * words(spec)[0])).otherwise(own(lambda spec: 3 + 64 * words(spec)[1])), F.lit(64))
+
+    signed = topic.isin([spec.swap_topic for spec in specs if spec.signed_swaps])
+    usable = topic.isin([spec.swap_topic for spec in specs]) & (F.size("topics") > own(lambda spec: spec.recipient_topic)) & (
+        F.length(data) >= own(lambda spec: 2 + 64 * spec.swap_words)
     )
-    at = F.when(quote_is_token0, 3).otherwise(3 + 64)
     words = logs.withColumns({
         "_ok": F.coalesce(usable, F.lit(False)),
-        "_first": F.substr(data, at, F.lit(64)),
-        "_out": F.substr(data, at + 128, F.lit(64)),
+        "_first": word_of(lambda spec: spec.swap_in),
+        "_out": word_of(lambda spec: spec.swap_out),
         "_signed": signed,
     })
     first = F.col("_first")
@@ -65,19 +75,20 @@ def tag_swaps(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
         "tx_hash": F.lower("tx_hash"),
         "side": F.when(F.col("_ok"), F.when(F.col("_bought"), F.lit("buy")).otherwise(F.lit("sell"))),
         "quote_limbs": F.when(F.col("_ok"), magnitude_limbs(chunks, F.col("_negative"))),
-        "recipient": F.when(F.col("_ok"), word_address(topics[2])),
+        "recipient": F.when(F.col("_ok"), word_address(F.get("topics", own(lambda spec: spec.recipient_topic)))),
     }).drop("_ok", "_first", "_out", "_signed", "_negative", "_bought", "_word", *[f"_c{i}" for i in range(6)])
 
 
 def decode_swaps_v2(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
     """Constant-product swaps: quote paid in is a buy, otherwise a sell of the amount paid out."""
-    wanted = logs.filter(F.get("topics", F.lit(0)).isin(SWAP_V2, SWAP_AERODROME))
+    wanted = logs.filter(F.get("topics", F.lit(0)).isin([spec.swap_topic for spec in DEXES if not spec.signed_swaps]))
     return tag_swaps(wanted, quote_is_token0).filter("side IS NOT NULL")
 
 
 def decode_swaps_v3(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
     """Signed-delta swaps: a positive quote delta is a buy, anything else (zero too) a sell."""
-    return tag_swaps(logs.filter(F.get("topics", F.lit(0)) == SWAP_V3), quote_is_token0).filter("side IS NOT NULL")
+    wanted = logs.filter(F.get("topics", F.lit(0)).isin([spec.swap_topic for spec in DEXES if spec.signed_swaps]))
+    return tag_swaps(wanted, quote_is_token0).filter("side IS NOT NULL")
 
 
 def resolve_token_side(decoded: DataFrame, quotes: DataFrame, creations: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.words import format_units, format_units_limbs, limbs_hex, sum_u256, units_text
+from tidepool.functions.words import format_units, format_units_limbs, limbs_hex, limbs_number, sum_u256, u256_limbs, units_text
 from tidepool.operators.asof import asof_join
 from tidepool.runtime import skew_join, top_k
 from tidepool.schemas import BLOCKS_PER_DAY, FIRST_TRADES
-from tidepool.sources.dex import STABLE_QUOTES, VIRTUAL, WETH
+from tidepool.sources.dex import DEXES, STABLE_QUOTES, VIRTUAL, WETH, DexSpec, per_dex
 
 
 def _positive(price: Column) -> Column:
@@ -98,6 +98,21 @@ def latest_reserves(reserves: DataFrame, as_of: Column | None = None) -> DataFra
     return seen.groupBy("pool_address").agg(F.max_by("quote_reserve_raw", "at").alias("quote_reserve_raw"))
 
 
+def quote_reserves(pools: DataFrame, readings: DataFrame, as_of: Column | None = None, specs: list[DexSpec] | None = None) -> DataFrame:
+    """Latest quote reserve per pool at or before ``as_of``, exact, by the rule of the pool's exchange.
+
+    ``pools``: pool_address, dex, quote_is_token0. ``readings``: pool_address, at, seq, kind and two words of 64 hex
+    digits: of a ``pair`` reading the reserves of token0 and token1, of a ``balance`` reading the pool's quote balance
+    in the first. Pools without a reading of their exchange's kind are left out.
+    """
+    specs = DEXES if specs is None else specs
+    seen = readings if as_of is None else readings.filter(F.col("at") <= as_of)
+    last = seen.groupBy("pool_address", "kind").agg(F.max_by(F.struct("word0", "word1"), F.struct("at", "seq")).alias("_words"))
+    wanted = pools.select("pool_address", "quote_is_token0", per_dex(specs, F.col("dex"), lambda spec: spec.id, lambda spec: spec.reserve).alias("kind"))
+    word = F.when((F.col("kind") == "balance") | F.col("quote_is_token0"), F.col("_words.word0")).otherwise(F.col("_words.word1"))
+    return wanted.join(last, ["pool_address", "kind"]).select("pool_address", u256_limbs(word).alias("quote_reserve_limbs"))
+
+
 def priced(launches: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds the quote token's price_usd (NULL when unpriced); few quote tokens carry most launches."""
     dim = prices.select(F.col("token").alias("_quote"), "price_usd")
@@ -105,8 +120,12 @@ def priced(launches: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def pool_liquidity(launches: DataFrame, reserves: DataFrame) -> DataFrame:
-    """2 x quote reserve x price per pool; ``launches`` carries quote_decimals and price_usd."""
-    usd = format_units(F.col("quote_reserve_raw"), F.col("quote_decimals")) * F.col("price_usd") * 2
+    """2 x quote reserve x price per pool; ``launches`` carries quote_decimals and price_usd.
+
+    ``reserves``: pool_address and quote_reserve_raw (BIGINT) or quote_reserve_limbs.
+    """
+    raw = limbs_number(F.col("quote_reserve_limbs")) if "quote_reserve_limbs" in reserves.columns else F.col("quote_reserve_raw")
+    usd = format_units(raw, F.col("quote_decimals")) * F.col("price_usd") * 2
     return launches.select("pool_address", "quote_decimals", "price_usd").join(reserves, "pool_address").select("pool_address", usd.alias("liquidity_usd"))
 
 

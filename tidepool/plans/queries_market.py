@@ -66,6 +66,26 @@ query("decode_swaps_v2", f"SELECT {_SWAP} WHERE l_suppkey % 3 <> 2 AND l_quantit
 query("decode_swaps_v3", f"SELECT {_SWAP} WHERE l_suppkey % 3 = 2 AND l_quantity <> 50")(lambda fx: _printed(decode.decode_swaps_v3(fx.swap_logs(), F.col("quote_is_token0"))))
 
 
+_WIDE_AMOUNT = f"CAST({_CENTS} AS HUGEINT) * 18446744073709551616 + (l_partkey + 1) * 4294967311 + l_orderkey"
+_WIDE_SWAP = f"{_POOL} AS pool_address, CASE WHEN l_linestatus = 'O' THEN 'buy' ELSE 'sell' END AS side, lpad(lower(hex({_WIDE_AMOUNT})), 72, '0') AS amount_hex, {HEX.format('l_partkey')} AS recipient, l_orderkey AS block_number, CAST(l_linenumber AS BIGINT) AS log_index FROM lineitem"
+
+
+def _all_digits(df):
+    return df.select("pool_address", "side", limbs_hex(F.col("quote_limbs")).alias("amount_hex"), "recipient", "block_number", "log_index")
+
+
+query("decode_swaps_v2_wide", f"SELECT {_WIDE_SWAP} WHERE l_suppkey % 3 <> 2 AND l_quantity <> 50")(lambda fx: _all_digits(decode.decode_swaps_v2(fx.swap_logs(wide=True), F.col("quote_is_token0"))))
+query("decode_swaps_v3_wide", f"SELECT {_WIDE_SWAP} WHERE l_suppkey % 3 = 2 AND l_quantity <> 50")(lambda fx: _all_digits(decode.decode_swaps_v3(fx.swap_logs(wide=True), F.col("quote_is_token0"))))
+
+
+@query("sum_u256_wide", f"SELECT {_POOL} AS pool_address, count(*) AS swaps, lpad(lower(hex(sum({_WIDE_AMOUNT}))), 72, '0') AS total_hex FROM lineitem WHERE l_quantity <> 50 GROUP BY l_suppkey")
+def summed_wide(fx: Fixtures):
+    """Exact 256-bit totals, every digit compared."""
+    rows = decode.tag_swaps(fx.swap_logs(wide=True), F.col("quote_is_token0")).filter("side IS NOT NULL").groupBy("pool_address").agg(
+        F.count("*").alias("swaps"), sum_u256(F.col("quote_limbs")).alias("limbs"))
+    return rows.select("pool_address", "swaps", limbs_hex(F.col("limbs")).alias("total_hex"))
+
+
 @query("sum_u256", f"""SELECT {_POOL} AS pool_address, count(*) AS swaps, lower(hex(CAST(sum({_CENTS}) AS BIGINT))) AS total_hex FROM lineitem WHERE l_quantity <> 50 GROUP BY l_suppkey""")
 def summed(fx: Fixtures):
     """Exact 256-bit totals over all swaps of all exchanges, in units of 2^64."""
@@ -283,6 +303,36 @@ query("pool_volume", f"{_PRICES}, {_VOLUME} SELECT pool_address, round(volume_us
 query("pool_liquidity", f"{_PRICES}, {_LIQ} SELECT pool_address, round(liquidity_usd, 4) AS liquidity_usd FROM liq")(lambda fx: _liquidity(fx).withColumn("liquidity_usd", F.round("liquidity_usd", 4)))
 
 
+_READ_UNTIL = "1998-06-01 00:00:00"
+#: Every line is a reading of its pool: reserves of token0 and token1 in 112 bits, and the quote balance.
+_RESERVES = f"""{_PRICES}, read AS (SELECT concat('s', l_suppkey) AS pool_address, l_shipdate AS seen_at, l_orderkey * 100000 + l_partkey AS seq, l_linenumber AS line,
+  CAST({_CENTS} AS HUGEINT) * 18446744073709551616 + l_partkey AS r0, CAST(l_partkey + 1 AS HUGEINT) * 73786976294838206464 + l_orderkey AS r1, CAST({_CENTS} AS HUGEINT) * 1152921504606846976 + 77 AS bal FROM lineitem WHERE l_shipdate <= TIMESTAMP '{_READ_UNTIL}'),
+ last AS (SELECT pool_address, arg_max(struct_pack(r0 := r0, r1 := r1, bal := bal), (seen_at, seq * 10 + line)) AS w FROM read GROUP BY pool_address),
+ held AS (SELECT p.pool_address, p.quote_address, CASE WHEN p.dex = 'uniswap-v3' THEN w.bal WHEN CAST(substr(p.pool_address, 2) AS BIGINT) % 2 = 0 THEN w.r0 ELSE w.r1 END AS reserve FROM f_pools p JOIN last l ON l.pool_address = p.pool_address)"""
+
+
+def _held(fx: Fixtures):
+    def word(high, low, digits=16):
+        """high x 16^digits + low."""
+        return F.lpad(F.concat(F.lower(F.hex(high)), F.lpad(F.lower(F.hex(low)), digits, "0")), 64, "0")
+
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    rows = fx.lineitem.select(
+        F.concat(F.lit("s"), "l_suppkey").alias("pool_address"), F.col("l_shipdate").alias("at"), ((F.col("l_orderkey") * 100000 + F.col("l_partkey")) * 10 + F.col("l_linenumber")).alias("seq"),
+        F.explode(F.array(
+            F.struct(F.lit("pair").alias("kind"), word(cents, F.col("l_partkey")).alias("word0"), word((F.col("l_partkey") + 1) * 4, F.col("l_orderkey")).alias("word1")),
+            F.struct(F.lit("balance").alias("kind"), word(cents, F.lit(77), 15).alias("word0"), F.lit(None).cast("string").alias("word1")),
+        )).alias("r")).select("pool_address", "at", "seq", "r.*")
+    pools = fx.f_pools.withColumn("quote_is_token0", F.substring("pool_address", 2, 18).cast("long") % 2 == 0)
+    return market.quote_reserves(pools, rows, F.lit(_READ_UNTIL).cast("timestamp_ntz"))
+
+
+query("quote_reserves", f"{_RESERVES} SELECT pool_address, lpad(lower(hex(reserve)), 72, '0') AS reserve_hex FROM held")(
+    lambda fx: _held(fx).select("pool_address", limbs_hex(F.col("quote_reserve_limbs")).alias("reserve_hex")))
+query("pool_liquidity_from_reserves", f"{_RESERVES} SELECT pool_address, round(CAST(reserve AS DOUBLE) / 1.0e20 * price_usd * 2, 6) AS liquidity_usd FROM held LEFT JOIN prices ON token = quote_address")(
+    lambda fx: market.pool_liquidity(priced_pools(fx).withColumn("quote_decimals", F.lit(20)), _held(fx)).withColumn("liquidity_usd", F.round("liquidity_usd", 6)))
+
+
 def _market(fx: Fixtures):
     """Pools with a priced quote token and a reserve reading."""
     good = priced_pools(fx).filter("price_usd IS NOT NULL")

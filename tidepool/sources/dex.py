@@ -1,11 +1,12 @@
 """The exchanges: ids, factories, event topics and quote tokens.
 
-``DexSpec`` is the one extension point: a new exchange is a new entry in ``DEXES`` plus the layout
-of its creation event; decoding stays a column expression.
+``DexSpec`` is the one extension point: a new exchange is one more entry in ``DEXES`` (or in the list a caller passes).
+It states where its events keep what; decoding compiles that into column expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,13 @@ SWAP_V3 = "0xc42079f94a6350d7e6235f29174924f928cc2ac818eb64fed8004e115fbcca67"
 
 @dataclass(frozen=True)
 class DexSpec:
+    """``pool_word``: data word of a creation event that holds the pool. ``pool_kind``: what tells the pool type, the
+    third indexed topic as a ``fee`` or as a stable ``flag``, or nothing (``fixed``: volatile). ``swap_in`` and
+    ``swap_out``: data words with what was paid in and out of token0 and token1; a signed event has one word for both.
+    ``swap_words``: data words an event must have. ``recipient_topic``: the topic that names who was paid.
+    ``reserve``: the pool's own reserves (``pair``) or its ``balance`` of the quote token.
+    """
+
     id: str
     label: str
     factory: str
@@ -43,6 +51,13 @@ class DexSpec:
     extra_quotes: tuple[tuple[str, str, int], ...] = ()
     network: str = "Base"
     default: bool = False
+    pool_word: int = 0
+    pool_kind: str = "fixed"
+    swap_in: tuple[int, int] = (0, 1)
+    swap_out: tuple[int, int] = (2, 3)
+    swap_words: int = 4
+    recipient_topic: int = 2
+    reserve: str = "pair"
 
     @property
     def quotes(self) -> list[tuple[str, str, int]]:
@@ -59,12 +74,13 @@ DEXES: list[DexSpec] = [
     DexSpec(
         id="aerodrome", label="Aerodrome", factory="0x420dd381b31aef6683db6b902084cb0ffece40da",
         launch_topic=POOL_CREATED_STABLE, swap_topic=SWAP_AERODROME, signed_swaps=False,
-        pool_types=(("volatile", "Volatile"), ("stable", "Stable")), extra_quotes=((AERO, "AERO", 18),),
+        pool_types=(("volatile", "Volatile"), ("stable", "Stable")), extra_quotes=((AERO, "AERO", 18),), pool_kind="flag",
     ),
     DexSpec(
         id="uniswap-v3", label="Uniswap V3", factory="0x33128a8fc17869897dce68ed026d694621f6fdfd",
         launch_topic=POOL_CREATED_FEE, swap_topic=SWAP_V3, signed_swaps=True,
         pool_types=(("100", "0.01%"), ("500", "0.05%"), ("3000", "0.30%"), ("10000", "1.00%")),
+        pool_word=1, pool_kind="fee", swap_words=5, reserve="balance",
     ),
 ]
 
@@ -86,6 +102,19 @@ def dex_catalog(spark: SparkSession) -> DataFrame:
     )
 
 
+def per_dex(specs: list[DexSpec], key: Column, own: Callable[[DexSpec], str], value: Callable[[DexSpec], object]) -> Column:
+    """``value`` of the exchange whose ``own`` name ``key`` holds, as one expression; equal values share a branch."""
+    by_value: dict[object, list[str]] = {}
+    for spec in specs:
+        by_value.setdefault(value(spec), []).append(own(spec))
+    if len(by_value) == 1:
+        return F.lit(next(iter(by_value)))
+    out = None
+    for v, names in by_value.items():
+        out = F.when(key.isin(names), F.lit(v)) if out is None else out.when(key.isin(names), F.lit(v))
+    return out
+
+
 def quote_dim(spark: SparkSession, dex: str | None = None) -> DataFrame:
     """Effective quote tokens (shared + own) of one exchange, or of all of them."""
     specs = DEXES if dex is None else [dex_by_id(dex)]
