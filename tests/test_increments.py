@@ -5,8 +5,9 @@ import os
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidepool.operators import upsert
+from tidepool.operators import stats, upsert
 from tidepool.sources.bucketed import BucketedTable
 from tidepool.streaming import inflows, rolling
 
@@ -89,3 +90,23 @@ def test_rolling_volume_keeps_late_rows_and_open_windows(spark, tmp_path, settle
     assert [tuple(r) for r in volume.late().collect()] == [("p", 1, 1)]
 
 
+
+
+def test_kept_rollups_follow_replays_and_moves(spark, tmp_path):
+    ddl = "dex STRING, pool_address STRING, block_number BIGINT, volume_usd DOUBLE, creator STRING, created_at TIMESTAMP"
+    schema = spark.createDataFrame([], ddl).schema
+    table = BucketedTable(spark, str(tmp_path / "t"), schema, bucket_blocks=10, rollups={"creators": stats.creator_parts, "days": stats.daily_parts})
+    assert table.rollup("creators").count() == 0
+    day = lambda d: T0 + dt.timedelta(days=d)
+    batches = [
+        [("x", "a", 5, 1.0, "w1", day(0)), ("x", "b", 15, 2.0, "w1", day(1)), ("y", "c", 25, None, "w2", day(1))],
+        [("x", "a", 5, 4.0, "w1", day(3)), ("y", "c", 45, 8.0, "w3", day(2))],  # replaced, and moved to another bucket and creator
+        [("x", "a", 5, 4.0, "w1", day(3)), ("x", "d", 46, 16.0, "w1", day(2))],  # a replay, and a new one
+    ]
+    for rows in batches:
+        table.merge(spark.createDataFrame(rows, ddl), lambda old, new: upsert.upsert(old, new, ["pool_address"], ["dex", "block_number", "volume_usd", "creator", "created_at"]))
+        got = sorted(tuple(r) for r in stats.creator_rollup_of(table.rollup("creators")).select("address", "launch_count", "first_launch_at", "last_launch_at").collect())
+        assert got == sorted(tuple(r) for r in stats.creator_rollup(table.read()).select("address", "launch_count", "first_launch_at", "last_launch_at").collect())
+        until = F.lit(day(5))
+        assert stats.daily_analytics_of(table.rollup("days"), until, 7).orderBy("date").collect() == stats.daily_analytics(table.read(), until, 7).orderBy("date").collect()
+    assert sorted(r["address"] for r in stats.creator_rollup_of(table.rollup("creators")).collect()) == ["w1", "w3"]

@@ -170,6 +170,33 @@ def research_summary(labelled: DataFrame, walk: Walk, labels: DataFrame) -> Data
     )
 
 
+def research_counts(clustered: DataFrame, walk: Walk, labels: DataFrame) -> DataFrame:
+    """``research_summary`` over every connection of a seed, however many: counts only, no list (see ``linked_bots``)."""
+    labelled = label_connections(clustered.filter("address <> seed"), labels)
+    bot = F.coalesce(F.col("label") == "rug-bot", F.lit(False))
+    counted = labelled.groupBy("seed").agg(
+        F.count("*").alias("connection_count"),
+        F.count(F.when(F.col("in_cluster"), 1)).alias("cluster_members"),
+        F.count(F.when(bot, 1)).alias("linked_rug_bot_count"),
+        F.max(bot & F.col("in_cluster")).alias("_bot_inside"),
+    )
+    explored = walk.nodes.groupBy("seed").agg(F.count("*").alias("wallets_explored"))
+    own = labels.select(F.lower("address").alias("seed"), F.col("kind").alias("label"))
+    joined = explored.join(counted, "seed", "left").join(own, "seed", "left").join(walk.complete, "seed", "left")
+    return joined.select(
+        "seed", "label",
+        (F.coalesce(F.col("label") == "rug-bot", F.lit(False)) | F.coalesce("_bot_inside", F.lit(False))).alias("rug_connected"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("connection_count", "cluster_members", "linked_rug_bot_count")],
+        "wallets_explored", "complete",
+    )
+
+
+def linked_bots(clustered: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row per seed and tagged bot among its connections."""
+    labelled = label_connections(clustered.filter("address <> seed"), labels)
+    return labelled.filter("label = 'rug-bot'").select("seed", "address", "hops", "in_cluster")
+
+
 @dataclass
 class ResearchReport:
     summary: DataFrame

@@ -21,6 +21,20 @@ def creator_rollup(df: DataFrame) -> DataFrame:
     )
 
 
+def creator_parts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``creator_rollup`` within ``keys``: what a ``BucketedTable`` keeps per partition."""
+    return df.groupBy(*keys, F.col("creator").alias("address")).agg(
+        F.count("*").alias("launch_count"), F.min("created_at").alias("first_launch_at"), F.max("created_at").alias("last_launch_at")
+    )
+
+
+def creator_rollup_of(parts: DataFrame) -> DataFrame:
+    """``creator_rollup`` from its parts."""
+    return parts.groupBy("address").agg(
+        F.sum("launch_count").alias("launch_count"), F.min("first_launch_at").alias("first_launch_at"), F.max("last_launch_at").alias("last_launch_at")
+    )
+
+
 def creator_count(df: DataFrame) -> DataFrame:
     return df.agg(F.countDistinct("creator").alias("total"))
 
@@ -78,6 +92,24 @@ def daily_analytics(df: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     )
 
 
+def daily_parts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Launches and volume per day within ``keys``."""
+    return df.groupBy(*keys, F.to_date("created_at").alias("date")).agg(
+        F.count("*").alias("launch_count"), F.sum(F.coalesce("volume_usd", F.lit(0.0))).alias("volume_usd")
+    )
+
+
+def daily_analytics_of(parts: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """``daily_analytics`` from parts per day; filters on the parts' other columns go before it."""
+    today = F.to_date(as_of)
+    since = F.date_sub(today, days - 1)
+    points = parts.filter(F.col("date") >= since).groupBy("date").agg(F.sum("launch_count").alias("launch_count"), F.sum("volume_usd").alias("volume_usd"))
+    calendar = parts.sparkSession.range(1).select(F.explode(F.sequence(since, today)).alias("date"))
+    return calendar.join(points, "date", "left").select(
+        "date", F.coalesce("launch_count", F.lit(0)).alias("launch_count"), F.coalesce("volume_usd", F.lit(0.0)).alias("volume_usd")
+    )
+
+
 def daily_summary(points: DataFrame) -> DataFrame:
     """Totals, peaks, average and the busiest day (the earliest on a tie) of a daily series."""
     busiest = F.max(F.struct(F.col("launch_count"), (-F.unix_date("date")).alias("early"), F.col("date")))

@@ -44,6 +44,14 @@ query("funding_outflows", f"{_FIRST} SELECT recipient AS wallet, sender AS funde
     lambda fx: funding.funding_outflows(fx.f_transfers).withColumn("position", F.col("position").cast("long")))
 
 
+_ALL = f"""{TRANSFERS}, ok AS (SELECT * FROM f_transfers WHERE NOT is_error AND value <> 0 AND sender <> recipient),
+ firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recipient, sender ORDER BY ts, via, seq) AS rn FROM ok) WHERE rn = 1)"""
+query("funding_inflows_all", f"{_ALL} SELECT recipient AS wallet, sender AS funder, via, hash, value, ts, row_number() OVER (PARTITION BY recipient ORDER BY ts, via, seq, sender) AS position FROM firsts")(
+    lambda fx: funding.funding_inflows(fx.f_transfers, None))
+query("funding_outflows_all", f"{_ALL} SELECT recipient AS wallet, sender AS funder, via, hash, value, ts, row_number() OVER (PARTITION BY sender ORDER BY ts, via, seq, recipient) AS position FROM firsts")(
+    lambda fx: funding.funding_outflows(fx.f_transfers, None))
+
+
 def _records(fx: Fixtures):
     return funding.wallet_funding_build(funding.funding_inflows(fx.f_transfers), F.lit("2024-02-01").cast("timestamp"), decimals=0)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import insider_tag, valid_address
@@ -9,6 +11,7 @@ from tidepool.operators import listing, stats, upsert
 from tidepool.plans.fixtures import Fixtures, duckdb_cte
 from tidepool.plans.registry import query
 from tidepool.runtime import stage_root
+from tidepool.sources.bucketed import BucketedTable
 from tidepool.sources.logs import scan_logs, scan_transfers
 from tidepool.sources.snapshot import export_snapshot, import_snapshot
 
@@ -187,6 +190,25 @@ def _daily(fx: Fixtures):
 
 
 query("daily_analytics", f"{_DAILY} SELECT * FROM days")(_daily)
+
+
+def _kept(fx: Fixtures) -> BucketedTable:
+    """Launches merged in three batches: the older ones, some with values that are later replaced; all newer ones; those again."""
+    rows = fx.f_launches
+    table = BucketedTable(fx.spark, f"{stage_root(fx.spark)}/kept-{uuid.uuid4().hex}", rows.schema, bucket_blocks=366, rollups={"creators": stats.creator_parts, "days": stats.daily_parts})
+    wrong = F.col("block_number") % 5 == 0
+    early = rows.filter(F.year("created_at") < 1999).withColumns({
+        "volume_usd": F.when(wrong, 1.0).otherwise(F.col("volume_usd")), "created_at": F.when(wrong, F.col("created_at") - F.expr("INTERVAL 400 DAYS")).otherwise(F.col("created_at")),
+        "block_number": F.when(wrong, F.col("block_number") - 400).otherwise(F.col("block_number")),
+    })
+    for batch in (early, rows.filter(wrong | (F.year("created_at") >= 1999)), rows.filter(F.year("created_at") == 2000)):
+        table.merge(batch, lambda old, new: upsert.upsert(old, new, ["pool_address"], [c for c in new.columns if c != "pool_address"]))
+    return table
+
+
+query("creator_rollup_kept", f"{_CREATORS} SELECT * FROM c")(lambda fx: stats.creator_rollup_of(_kept(fx).rollup("creators")))
+query("daily_analytics_kept", f"{_DAILY} SELECT * FROM days")(
+    lambda fx: _rounded(stats.daily_analytics_of(_kept(fx).rollup("days").filter("dex = 'O'"), F.lit(AS_OF).cast("timestamp_ntz"), 90), "volume_usd"))
 query("days_x_points", f"{_DAILY} SELECT count(*) AS days, count(*) FILTER (launch_count = 0) AS empty_days FROM days")(
     lambda fx: _daily(fx).agg(F.count("*").alias("days"), F.count(F.when(F.col("launch_count") == 0, 1)).alias("empty_days")))
 query("daily_summary", f"""{_DAILY} SELECT CAST(sum(launch_count) AS BIGINT) AS total_launches, round(sum(volume_usd), 2) AS total_volume_usd, max(launch_count) AS peak_launches,

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidepool import schemas
-from tidepool.operators import intel, research
+from tidepool.operators import funding, intel, research
 from tidepool.plans import attendees
 from tidepool.plans.fixtures import Fixtures, duckdb_cte
 from tidepool.plans.oracle_parts import BALL, CLASSIFIED, PUBLIC_AT, ROOTS, TRADERS
@@ -83,6 +83,42 @@ query("research_report", _SUMMARY)(lambda fx: research.research_report(_seeds(fx
     "linked_rug_bots", F.array_join("linked_rug_bots", ",")))
 
 
+# ---- all connections, and both fan-outs
+
+_EVERY = f"""{_CLUSTER}, named AS (SELECT c.*, l.kind AS label FROM nodes c LEFT JOIN f_labels l ON l.address = c.address WHERE c.address <> c.seed)"""
+query("research_summary_all", f"""{_EVERY}, s AS (SELECT seed, count(*) AS connection_count, count(*) FILTER (in_cluster) AS cluster_members, count(*) FILTER (label = 'rug-bot') AS linked_rug_bot_count FROM named GROUP BY seed),
+ w AS (SELECT seed, count(*) AS wallets_explored FROM walked GROUP BY seed)
+ SELECT n0.seed, 'rug-bot' AS label, TRUE AS rug_connected, coalesce(connection_count, 0) AS connection_count, coalesce(cluster_members, 0) AS cluster_members, coalesce(linked_rug_bot_count, 0) AS linked_rug_bot_count,
+ wallets_explored, n0.seed NOT IN (SELECT seed FROM n4) AS complete FROM n0 JOIN w ON w.seed = n0.seed LEFT JOIN s ON s.seed = n0.seed""")(
+    lambda fx: research.research_counts(_clustered(fx), _walk(fx), fx.f_labels))
+#: Funder lists cut to the first four, recipients to the first 30: some edges only the second list has.
+_CUT_IN, _CUT_OUT = 4, 30
+_TWO_WAY = f"""{duckdb_cte('f_transfers')}, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recipient, sender ORDER BY ts, via, seq) AS rn FROM f_transfers
+  WHERE NOT is_error AND value <> 0 AND sender <> recipient) WHERE rn = 1),
+ up AS (SELECT recipient AS wallet, sender AS funder, via, hash AS tx_hash, row_number() OVER (PARTITION BY recipient ORDER BY ts, via, seq, sender) AS position FROM firsts QUALIFY position <= {_CUT_IN}),
+ out AS (SELECT recipient AS wallet, sender AS funder, via, hash AS tx_hash, row_number() OVER (PARTITION BY sender ORDER BY ts, via, seq, recipient) AS position FROM firsts QUALIFY position <= {_CUT_OUT}),
+ down AS (SELECT * FROM up UNION ALL SELECT * FROM out WHERE (wallet, funder) NOT IN (SELECT (wallet, funder) FROM up)),
+ n0 AS (SELECT DISTINCT recipient AS seed, recipient AS address FROM firsts WHERE CAST(substr(recipient, 2) AS BIGINT) >= 100)"""
+
+
+def _two_way_hop(n: int) -> str:
+    return _hop(n).replace("JOIN f_edges e ON e.wallet", "JOIN up e ON e.wallet").replace("JOIN f_edges e ON e.funder", "JOIN down e ON e.funder")
+
+
+@query("research_walk_two_way", f"""{_TWO_WAY}, {_two_way_hop(1)}, {_two_way_hop(2)}, found AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2),
+ firsts_met AS (SELECT *, row_number() OVER (PARTITION BY seed, address ORDER BY hops, step DESC, parent, position, child) AS rn FROM found WHERE address <> seed),
+ dirs AS (SELECT seed, address, CASE WHEN min(step) = max(step) THEN min(step) ELSE 'both' END AS direction FROM found WHERE address <> seed GROUP BY 1, 2)
+ SELECT f.seed, f.address, d.direction, CAST(f.hops AS BIGINT) AS hops, f.via, f.tx_hash FROM firsts_met f JOIN dirs d ON d.seed = f.seed AND d.address = f.address WHERE f.rn = 1
+ UNION ALL SELECT seed, address, 'seed', 0, NULL, NULL FROM n0""")
+def two_way_walk(fx: Fixtures):
+    """Two hops around every wallet from u100 on, with the sender's own recipient list next to the wallets' funder lists."""
+    inflows_ = funding.funding_inflows(fx.f_transfers, _CUT_IN).withColumnRenamed("hash", "tx_hash")
+    outflows = funding.funding_outflows(fx.f_transfers, _CUT_OUT)
+    every = funding.dedupe_first_inflow(fx.f_transfers)
+    seeds = every.filter(F.substring("wallet", 2, 18).cast("long") >= 100).select(F.col("wallet").alias("seed"))
+    return research.research_walk(seeds, inflows_, 2, outflows).nodes
+
+
 # ---- streaming jobs over the whole tables, run until their input is exhausted
 
 def _fresh(fx: Fixtures, name: str) -> str:
