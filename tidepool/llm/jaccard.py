@@ -13,9 +13,11 @@
    bounds that joins all its candidates, one pair less than it has components.
 5. These pairs and those of the first pass are intersected exactly, which gives components of real links. Tiles over
    these give another forest, and its links join further components.
-6. Last, tiles give every pair that may link between the components left. Sets already connected are not compared
-   again, so a huge group of near copies, where a forest finds the links, stays linear. Components only merge and a
-   forest names every set of its candidates, so each pass holds only the sets that the one before named.
+6. Last, the sets that this forest named meet in tiles with finer bitmaps; the places (set and tile) that still have a
+   candidate meet once more as sorted arrays. Such a tile intersects every pair that bitmaps allow between components
+   still apart, and gives a link for each two components it joins. Sets already connected are not compared again and
+   a tile gives no more rows than it has sets, so all passes are linear. Components only merge and a forest names
+   every set of its candidates, so each pass holds only the sets that the one before named.
 
 Nothing is capped: common shingles only change the order, and large groups only get more tiles.
 
@@ -26,7 +28,8 @@ rows and ids are rows of their own, of one class if their texts are alike; no ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.links import components
 from tidepool.llm.tokens import mixed, shingle_sets, text_chunks
-from tidepool.runtime import stage
+from tidepool.runtime import Staged, stage, stage_table
 
 WORDS = 4
 PERCENT = 85
@@ -43,6 +46,9 @@ COMMON_BITS = 20
 COMMON_HERE = 4  # texts of one batch that make a shingle worth counting
 COMMON_ALL = 64  # texts in all that make it common
 BLOCK = 1024  # sets per side of a tile
+TILE_BYTES = 64 << 20  # about, of bitmaps or arrays per side of a tile
+TILE = ["gid", "tile", "i", "j"]
+MASK_BITS = 1 << 24
 SPREAD = 64  # sets compared with one copy of a group's smallest set
 
 
@@ -80,14 +86,18 @@ def _often(held: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array((hashes & np.uint64((1 << COMMON_BITS) - 1)).astype(np.int64)), pa.array(hashes.view(np.int64)), pa.array(n)], names=["bit", "h", "n"])
 
 
-def _bitmap(hashes: np.ndarray) -> bytes:
-    """One bit per hash, in a power of two of at least twice as many bits."""
-    width = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+def _bitmap(hashes: np.ndarray, spread: int = 2) -> bytes:
+    """One bit per hash, in a power of two of at least ``spread`` times as many bits."""
+    width = max(64, 1 << (spread * len(hashes) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(hashes >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _fine(hashes: np.ndarray) -> bytes:
+    return _bitmap(hashes, 5)
+
+
 def _folded(bits: bytes, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
 
@@ -96,7 +106,7 @@ def _least(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return (percent * n + 99) // 100
 
 
-def sketches(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
+def sketches(docs: DataFrame, text: str, words: int, percent: int) -> Staged:
     """Staged: docs' other columns, n, sid (NULL without shingles), bits, prefix (empty if this task had the set before)."""
     kept = [c for c in docs.columns if c != text]
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, text, words))
@@ -124,7 +134,7 @@ def sketches(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *arrays], names=[*kept, "n", "sid", "bits", "prefix"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
-    return stage(docs.mapInArrow(run, f"{fields}, n long, sid long, bits binary, prefix array<long>"), "jaccard-sketch")
+    return stage_table(docs.mapInArrow(run, f"{fields}, n long, sid long, bits binary, prefix array<long>"), "jaccard-sketch")
 
 
 def _groups(sketch: DataFrame) -> DataFrame:
@@ -206,29 +216,38 @@ def _may_link(na: int, nb: int, ba: bytes, bb: bytes, percent: int) -> bool:
     return 100 * shared >= percent * (na + nb - shared)
 
 
-def _tile_pairs(rows: DataFrame, sizes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs of different roots that share a group and pass the bitmap bound. ``rows``: gid, sid, root.
+def _tiles(rows: DataFrame, sizes: DataFrame, percent: int, shingle_bytes: float) -> Staged:
+    """Sets of groups with several roots, dealt to tiles: gid, tile, i, j, home, left, sid, root. ``rows``: gid, sid, root.
 
-    With ``forest`` a forest of them per tile, and (a, a) for every set of such a pair.
+    A tile holds one size band at home and the one above; large ones are cut into blocks that meet in pairs (i, j).
     """
     mixed_groups = rows.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gid")
     rows = rows.join(mixed_groups, "gid").join(sizes.select("sid", "n"), "sid")
     # Sets within the threshold lie in one band or in neighbouring ones.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     sides = F.array(F.struct(band.alias("tile"), F.lit(True).alias("home")), F.struct((band - 1).alias("tile"), F.lit(False).alias("home")))
-    placed = stage(rows.select("gid", "sid", "root", F.explode(sides).alias("at")).select("gid", "sid", "root", "at.tile", "at.home"), "jaccard-places")
-    counts = placed.groupBy("gid", "tile").agg(F.count("*").alias("n_all"), F.sum(F.col("home").cast("int")).alias("n_home"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    counts = counts.filter("n_home > 0 AND n_all > 1 AND lo <> hi").select("gid", "tile", F.ceil(F.col("n_all") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(counts, ["gid", "tile"])
+    places = stage_table(rows.select("gid", "sid", "root", "n", F.explode(sides).alias("at")).select("gid", "sid", "root", "n", "at.tile", "at.home"), "jaccard-places")
+    counts = places.df.groupBy("gid", "tile").agg(
+        F.count("*").alias("n_all"), F.sum(F.col("home").cast("int")).alias("n_home"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("shingles"),
+    )
+    blocks = F.ceil(F.greatest(F.col("n_all") / BLOCK, F.col("shingles") * shingle_bytes / TILE_BYTES)).cast("int")
+    counts = counts.filter("n_home > 0 AND n_all > 1 AND lo <> hi").select("gid", "tile", blocks.alias("blocks"))
     block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
-    placed = placed.withColumn("at", F.explode(every)).select("gid", "tile", "at.i", "at.j", "home", (block == F.col("at.i")).alias("left"), "sid", "root")
-    placed = placed.join(sizes, "sid")
+    placed = places.df.join(counts, ["gid", "tile"]).withColumn("at", F.explode(every))
+    placed = placed.select("gid", "tile", "at.i", "at.j", "home", (block == F.col("at.i")).alias("left"), "sid", "root")
+    done = stage_table(placed, "jaccard-tiles")
+    places.drop()
+    return done
+
+
+def _in_tiles(placed: DataFrame, compare: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> Staged:
+    """Distinct pairs (a, b) that ``compare`` gives for the tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for tile in _runs(batches, ["gid", "tile", "i", "j"]):
-            a, b = _compare_tile(tile, percent, forest)
+        for tile in _runs(batches, TILE):
+            a, b = compare(tile)
             new = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True) if p not in seen]
             if new:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -236,8 +255,46 @@ def _tile_pairs(rows: DataFrame, sizes: DataFrame, percent: int, forest: bool) -
                 seen.clear()
             seen.update(new)
 
-    ordered = placed.repartition("gid", "tile", "i", "j").sortWithinPartitions("gid", "tile", "i", "j", "n")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    ordered = placed.repartition(*TILE).sortWithinPartitions(*TILE, "n")
+    return stage_table(ordered.mapInArrow(run, "a long, b long").distinct(), "jaccard-pairs")
+
+
+def _tile_pairs(rows: DataFrame, sizes: DataFrame, percent: int) -> Staged:
+    """Per tile a forest of the likeliest pairs of different roots that pass the bitmap bound, and (a, a) for every set of such a pair."""
+    tiles = _tiles(rows, sizes, percent, 0.5)
+    pairs = _in_tiles(tiles.df.join(sizes, "sid"), lambda tile: _compare_tile(tile, percent))
+    tiles.drop()
+    return pairs
+
+
+def _tile_links(rows: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> Staged:
+    """Per tile links that join all components it has a link between. ``sets``: sid, n, bits (finer), hashes."""
+    tiles = _tiles(rows, sizes, percent, 8.0)
+    kinds = {f.name: f.dataType.simpleString() for f in tiles.df.schema}
+
+    def open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _runs(batches, TILE):
+            yield from tile.select(list(kinds)).filter(pa.array(_has_candidate(tile, percent))).combine_chunks().to_batches()
+
+    fine = tiles.df.join(sets.select("sid", "n", "bits"), "sid").repartition(*TILE).sortWithinPartitions(*TILE, "n")
+    left = stage_table(fine.mapInArrow(open_places, ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())), "jaccard-open")
+    tiles.drop()
+    links = _in_tiles(left.df.join(sets.select("sid", "n", "hashes"), "sid"), lambda tile: _link_tile(tile, percent))
+    left.drop()
+    return links
+
+
+def _sorted_sets(texts: DataFrame, words: int) -> Staged:
+    """sid, n, bits (finer than those of ``sketches``), hashes (sorted 64-bit shingle hashes) of ``texts``: sid, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in text_chunks(batch.column("text")):
+                sets = shingle_sets(data, offsets, words)
+                columns = [batch.column("sid").slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f(s) for s in sets], pa.binary()) for f in (_fine, np.ndarray.tobytes))]
+                yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "bits", "hashes"])
+
+    return stage_table(texts.mapInArrow(run, "sid long, n long, bits binary, hashes binary"), "jaccard-sets")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -282,24 +339,47 @@ def _forest(a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return order[np.concatenate(picked)]
 
 
-def _compare_tile(tile: pa.Table, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    n, sid, root = (tile.column(c).to_numpy() for c in ("n", "sid", "root"))
-    home, left = (np.array(tile.column(c).to_pylist(), bool) for c in ("home", "left"))
-    diagonal = tile.column("i")[0] == tile.column("j")[0]
+@dataclass
+class _Tile:
+    """A tile's sets in ascending size: which are compared with which."""
+
+    n: np.ndarray
+    sid: np.ndarray
+    root: np.ndarray
+    home: np.ndarray
+    left: np.ndarray
+    diagonal: bool
+
+    @classmethod
+    def of(cls, tile: pa.Table) -> _Tile:
+        n, sid, root = (tile.column(c).to_numpy() for c in ("n", "sid", "root"))
+        home, left = (np.array(tile.column(c).to_pylist(), bool) for c in ("home", "left"))
+        return cls(n, sid, root, home, left, tile.column("i")[0] == tile.column("j")[0])
+
+    def others(self, k: int, part: np.ndarray, percent: int) -> np.ndarray:
+        """Sets not smaller than k that it may link with by size, of other parts."""
+        other = np.arange(k + 1, int(np.searchsorted(self.n, self.n[k] * 100 // percent, "right")))
+        other = other[(part[other] != part[k]) & (self.home[other] | self.home[k])]
+        return other if self.diagonal else other[self.left[other] != self.left[k]]
+
+    def bound(self, k: int, other: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Upper bound of the intersection of k with each of ``other``."""
+        mine, theirs = bits[k], bits[other]
+        return np.minimum(self.n[k] - np.bitwise_count(mine & ~theirs).sum(axis=1), self.n[other] - np.bitwise_count(theirs & ~mine).sum(axis=1))
+
+
+def _compare_tile(tile: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    t = _Tile.of(tile)
+    n, sid, root = t.n, t.sid, t.root
     raw = tile.column("bits").to_pylist()
     size = min(map(len, raw))
     bits = np.stack([_folded(b, size) for b in raw])
     found_a, found_b, bounds = [], [], []
     for k in range(len(n) - 1):
-        end = int(np.searchsorted(n, n[k] * 100 // percent, "right"))
-        other = np.arange(k + 1, end)
-        other = other[(root[other] != root[k]) & (home[other] | home[k])]
-        if not diagonal:
-            other = other[left[other] != left[k]]
+        other = t.others(k, root, percent)
         if not len(other):
             continue
-        mine, theirs = bits[k], bits[other]
-        shared = np.minimum(n[k] - np.bitwise_count(mine & ~theirs).sum(axis=1), n[other] - np.bitwise_count(theirs & ~mine).sum(axis=1))
+        shared = t.bound(k, other, bits)
         either = n[k] + n[other] - shared
         keep = 100 * shared >= percent * either
         found_a.append(np.full(keep.sum(), k))
@@ -308,13 +388,54 @@ def _compare_tile(tile: pa.Table, percent: int, forest: bool) -> tuple[np.ndarra
     if not sum(map(len, found_a)):
         return sid[:0], sid[:0]
     a, b = np.concatenate(found_a), np.concatenate(found_b)
-    if not forest:
-        return sid[a], sid[b]
     both = np.unique(np.concatenate([a, b]))
     of_forest = _forest(root[a], root[b], np.concatenate(bounds))
     return sid[np.concatenate([a[of_forest], both])], sid[np.concatenate([b[of_forest], both])]
 
 
+def _has_candidate(tile: pa.Table, percent: int) -> np.ndarray:
+    """Which sets of the tile may link, by their bitmaps, with one of another root."""
+    t = _Tile.of(tile)
+    raw = tile.column("bits").to_pylist()
+    size = min(map(len, raw))
+    bits = np.stack([_folded(b, size) for b in raw])
+    out = np.zeros(len(raw), bool)
+    for k in range(len(raw) - 1):
+        other = t.others(k, t.root, percent)
+        if len(other):
+            shared = t.bound(k, other, bits)
+            near = other[100 * shared >= percent * (t.n[k] + t.n[other] - shared)]
+            out[near] = True
+            out[k] |= len(near) > 0
+    return out
+
+
+def _link_tile(tile: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    t = _Tile.of(tile)
+    n = t.n
+    sets = [np.frombuffer(raw, np.uint64) for raw in tile.column("hashes").to_pylist()]
+    width = min(1 << 17, max(64, 1 << (8 * int(n[-1]) - 1).bit_length()))
+    bits = np.stack([np.packbits(np.bincount(((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64), minlength=width) > 0, bitorder="little").view(np.uint64) for s in sets])
+    part = np.unique(t.root, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+    for k in range(len(n) - 1):
+        other = t.others(k, part, percent)
+        if len(other):
+            shared = t.bound(k, other, bits)
+            other = other[100 * shared >= percent * (n[k] + n[other] - shared)]
+        if not len(other):
+            continue
+        own, theirs = sets[k], np.concatenate([sets[o] for o in other])
+        hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        shared = np.add.reduceat(hit, np.cumsum(n[other]) - n[other], dtype=np.int64)
+        for o in other[100 * shared >= percent * (n[k] + n[other] - shared)].tolist():
+            if part[o] != part[k]:
+                out.append((k, o))
+                part[part == part[o]] = part[k]
+    a, b = np.array([p[0] for p in out], np.int64), np.array([p[1] for p in out], np.int64)
+    return t.sid[a], t.sid[b]
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) that link, by intersecting the sorted sets. The texts of a pair meet in a tile of one ``a``."""
     pairs = pairs.filter("a <> b")
@@ -342,6 +463,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def _masked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``_row`` is not in ``wanted``: before they are shuffled, by a bitmap of fixed size.
+
+    The bitmap is a table of at most MASK_BITS / 64 words, so its broadcast is bounded.
+    """
+    place = F.pmod(F.col("_row"), F.lit(MASK_BITS))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    words = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_mask"))
+    return rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word").filter(F.col("_mask").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_mask")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, _row (hash of id and text), n_shingles, component_id, _root per document.
 
@@ -349,35 +481,47 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("_row"), F.col(text).alias("text"))
     sketch = sketches(rows, "text", words, percent)
-    full = sketch.filter("n > 0")
-    sizes = full.filter("bits IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    groups = _groups(sketch)
+    groups = _groups(sketch.df)
+    sizes = sketch.df.filter("bits IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     sizes = stage(sizes.join(groups.select("sid").distinct(), "sid"), "jaccard-sizes")
+    slim = stage(sketch.df.select("doc_id", "_row", "n", "sid"), "jaccard-slim")
+    sketch.drop()
+    full = slim.filter("n > 0")
 
     stars = groups.filter("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    near = stage(_bound(stars, sizes, percent), "jaccard-near")
-    tentative = stage(components(near).select(F.col("node").alias("sid"), F.col("root").alias("guess")), "jaccard-guess")
+    near = stage_table(_bound(stars, sizes, percent), "jaccard-near")
+    tentative = stage(components(near.df).select(F.col("node").alias("sid"), F.col("root").alias("guess")), "jaccard-guess")
     guessed = groups.select("gid", "sid").join(tentative, "sid", "left")
-    across = stage(_tile_pairs(guessed.select("gid", "sid", F.coalesce("guess", "sid").alias("root")), sizes, percent, True), "jaccard-across")
-    pairs = near.unionByName(across)
+    across = _tile_pairs(guessed.select("gid", "sid", F.coalesce("guess", "sid").alias("root")), sizes, percent)
+    pairs = near.df.unionByName(across.df)
     # Whatever a later pass compares is in one of these pairs too, if only with itself.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(full.groupBy("sid").agg(F.min("_row").alias("_row")), "sid")
-    texts = stage(rows.select("_row", "text").join(wanted.hint("merge"), "_row").select("sid", "text").dropDuplicates(["sid"]), "jaccard-texts")
+    wanted = stage(wanted, "jaccard-wanted")
+    texts = stage(_masked(rows.select("_row", "text"), wanted).join(wanted.hint("merge"), "_row").select("sid", "text").dropDuplicates(["sid"]), "jaccard-texts")
     links = stage(_verified(pairs, texts, words, percent), "jaccard-links")
-    compared = texts.select("sid")
-    for forest in (True, False):
+    near.drop()
+    across.drop()
+
+    def rooted(links: DataFrame, compared: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components of the links so far as stars, and the groups of the sets still compared with their roots."""
         root = stage(components(links).withColumnRenamed("node", "sid"), "jaccard-roots")
-        rooted = groups.select("gid", "sid").join(compared, "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        more = stage(_tile_pairs(rooted, sizes, percent, forest), "jaccard-left")
-        compared = more.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         stars = root.filter("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))
-        links = stars.unionByName(stage(_verified(more, texts, words, percent), "jaccard-links"))
-    final = components(links).withColumnRenamed("node", "sid")
+        return stars, groups.select("gid", "sid").join(compared, "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+    stars, left = rooted(links, texts.select("sid"))
+    more = _tile_pairs(left, sizes, percent)
+    links = stars.unionByName(stage(_verified(more.df, texts, words, percent), "jaccard-links"))
+    compared = stage(more.df.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "jaccard-compared")
+    more.drop()
+    stars, left = rooted(links, compared)
+    sets = _sorted_sets(texts.join(compared, "sid"), words)
+    final = components(stars.unionByName(_tile_links(left, sizes, sets.df, percent).df)).withColumnRenamed("node", "sid")
+    sets.drop()
 
     ids = full.groupBy("sid").agg(F.min("doc_id").alias("least")).join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = ids.join(named, "root").select("sid", "component_id", "root")
-    return sketch.select("doc_id", "_row", F.col("n").alias("n_shingles"), "sid").join(of_set, "sid", "left").select(
+    return slim.select("doc_id", "_row", F.col("n").alias("n_shingles"), "sid").join(of_set, "sid", "left").select(
         "doc_id", "_row", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("root").alias("_root")
     )
 
