@@ -59,10 +59,23 @@ def test_secrets_odd_texts_and_owner_counts(spark, make_docs):
     assert by_id[8]["spans"] == f"token:4:{4 + len(live)}" and by_id[200]["n_token"] == 1
     assert all(by_id[100 + i]["n_token"] == 0 for i in range(5))
     assert by_id[9]["n_assign"] == 900
+    assert (by_id[8]["most_owners"], by_id[8]["most_repositories"], by_id[0]["most_owners"]) == (2, 2, 0)
     assert secrets.scan(docs.limit(0), F.col("source"), F.col("source")).count() == 0
     assert secrets.scan(docs.unionAll(docs), F.col("source"), F.col("source")).count() == 2 * len(rows)
 
 
+def test_either_count_makes_a_value_an_example(make_docs):
+    """One value in many repositories of one owner, one of many owners in one repository each, one of few of both."""
+    values = {"many": "zQ9x_7Lm2-Rt8vKp4Ws6Y", "wide": "Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8", "rare": "q1W2e3R4t5Y6u7I8o9P0aS"}
+    rows = [(i, f"use {values['many']} now", f"lang{i}", "one owner", 0) for i in range(5)]
+    rows += [(10 + i, f"use {values['wide']} now", "en", f"owner {i}", 0) for i in range(3)] + [(20 + i, f"use {values['rare']} now", f"lang{i}", "one owner", 0) for i in range(4)]
+    rows += [(30, f"use {values['many']} now", "lang0", "one owner", 0), (40, f"token={values['many']}", "lang9", "one owner", 0)]
+    got = {r["doc_id"]: r for r in secrets.scan(make_docs(rows), F.col("source"), F.concat_ws("/", "source", "lang")).collect()}
+    assert [got[i]["n_token"] for i in (0, 10, 20, 30, 40)] == [0, 0, 1, 0, 0]
+    assert [(got[i]["most_owners"], got[i]["most_repositories"]) for i in (0, 10, 20, 40)] == [(0, 0), (0, 0), (1, 4), (1, 6)]
+    assert (got[40]["n_example"], got[40]["n_live"], got[20]["n_live"]) == (1, 0, 1)
+
+
 def check_shards(docs, rows, shards=24):
     assert Counter(r["doc_id"] for r in rows) == Counter(d["doc_id"] for d in docs)
     text = {d["doc_id"]: (d["text"] or "").encode() for d in docs}

@@ -2,8 +2,8 @@
 
 Spans: three fixed kinds, leftmost and non-overlapping per kind, plus ``token``, a bare random-looking string. The
 candidate values of all documents are hashed and counted by distinct repository and owner. A value that more than
-``MAX_OWNERS`` owners have is a widely copied example; a value of fewer owners that looks random is live. Bare
-tokens become spans only if they are live, so the count decides what is reported.
+``MAX_OWNERS`` owners or more than ``MAX_REPOSITORIES`` repositories have is a widely copied example; any other one that
+looks random is live. Bare tokens become spans only if they are live, so both counts decide what is reported.
 
 Positions come from ``split`` and ``regexp_extract_all`` with one pattern: a match starts where the pieces and
 matches before it end.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.columns import running_sums
-from tidepool.runtime import stage
+from tidepool.runtime import skew_join, stage
 
 # Fixed patterns of the contract (kinds in report order), and the bare token.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,6 +35,7 @@ KINDS = (
 )
 BASE_KINDS = 3
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 4
 RANDOM_LENGTH = 16
 RANDOM_LETTERS = 10
 
@@ -74,10 +75,11 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, owner: Column, repository: Column, doc_id: str = "doc_id", text: str = "text", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, n_token, n_live, n_example, base_spans, spans.
+def scan(docs: DataFrame, owner: Column, repository: Column, doc_id: str = "doc_id", text: str = "text", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, n_token, n_live, n_example, most_owners, most_repositories, base_spans, spans.
 
-    ``n_live`` and ``n_example`` count all reported spans by what the corpus says about their value.
+    ``n_live`` and ``n_example`` count all reported spans by what the corpus says about their value; ``most_owners`` and
+    ``most_repositories`` are the counts of the reported value that most have (0 without spans).
     """
     found = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(text, owner, repository).alias("_row"),
@@ -92,8 +94,9 @@ def scan(docs: DataFrame, owner: Column, repository: Column, doc_id: str = "doc_
     owned = every.groupBy(F.col("s.hash").alias("hash"), "owner", "repository").agg(F.count("*").alias("n"))
     owned = owned.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     counts = owned.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = every.withColumn("hash", F.col("s.hash")).join(counts, "hash").select(
-        "doc_id", "_row", F.struct("s.start", "s.rank", "s.end", (F.col("owners") > max_owners).alias("example"), (F.col("s.random") & (F.col("owners") <= max_owners)).alias("live")).alias("s")
+    copied = (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
+    judged = skew_join(every.withColumn("hash", F.col("s.hash")), counts, "hash").select(
+        "doc_id", "_row", F.struct("s.start", "s.rank", "s.end", copied.alias("example"), (F.col("s.random") & ~copied).alias("live"), "owners", "repositories").alias("s")
     ).filter((F.col("s.rank") < BASE_KINDS) | F.col("s.live"))
     per_doc = judged.groupBy(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).agg(F.collect_set("s").alias("_all"))
 
@@ -106,6 +109,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column, doc_id: str = "doc_
         F.size(F.filter(everything, lambda s: s["rank"] >= BASE_KINDS)).cast("long").alias("n_token"),
         F.size(F.filter(everything, lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter(everything, lambda s: s["example"])).cast("long").alias("n_example"),
+        *[F.coalesce(F.array_max(everything[c]), F.lit(0)).cast("long").alias(f"most_{c}") for c in ("owners", "repositories")],
         _joined(base).alias("base_spans"),
         _joined(F.transform(everything, lambda s: F.struct(s["start"], s["rank"], s["end"]))).alias("spans"),
     )
