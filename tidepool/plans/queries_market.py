@@ -255,8 +255,8 @@ def _priced_trades(fx: Fixtures):
 query("quote_x_price_as_of", f"{duckdb_cte('f_prices')}, {_TRADES}, {_READINGS}, x AS ({_asof_sql('trades', 'token', 'traded_at')}) SELECT trade, line, part, token AS quote, traded_at, price_usd FROM x")(
     lambda fx: _priced_trades(fx).select("trade", "line", "part", "quote", "traded_at", "price_usd"))
 query("volume_at_trade_prices", f"""{duckdb_cte('f_prices')}, {_TRADES}, {_READINGS}, x AS ({_asof_sql('trades', 'token', 'traded_at')})
- SELECT token AS quote, count(*) AS trades, count(price_usd) AS priced, round(sum(quote_raw / 100.0e0 * price_usd), 3) AS volume_usd FROM x GROUP BY token""")(
-    lambda fx: _priced_trades(fx).groupBy("quote").agg(F.count("*").alias("trades"), F.count("price_usd").alias("priced"), F.round(F.sum(F.col("quote_raw") / 100.0 * F.col("price_usd")), 3).alias("volume_usd")))
+ SELECT token AS quote, count(*) AS trades, count(price_usd) AS priced, round(sum(quote_raw / 100.0e0 * price_usd), 1) AS volume_usd FROM x GROUP BY token""")(
+    lambda fx: _priced_trades(fx).groupBy("quote").agg(F.count("*").alias("trades"), F.count("price_usd").alias("priced"), F.round(F.sum(F.col("quote_raw") / 100.0 * F.col("price_usd")), 1).alias("volume_usd")))
 query("deepest_pair_snapshot", f"""{duckdb_cte('f_prices')}, {_READINGS} SELECT token, "at", p AS price_usd FROM par""")(
     lambda fx: market.price_snapshots(_readings(fx)).filter("pair IS NOT NULL").select("token", "at", F.col("pair.price_usd").alias("price_usd")))
 
