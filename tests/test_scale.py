@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidepool.operators import funding
+from pyspark.sql import functions as F
+
+from tidepool.operators import funding, intel
 
 
 def test_walk_hands_on_only_wallets_that_lead_on(spark, monkeypatch):
@@ -21,3 +23,16 @@ def test_walk_hands_on_only_wallets_that_lead_on(spark, monkeypatch):
     assert sorted((r.pool_address, r.wallet, r.funder or "", r.hop) for r in rows.collect()) == [
         ("p", "a", "hub", 0), ("p", "a", "x", 0), ("p", "b", "", 0), ("p", "b", "hub", 0), ("p", "x", "y", 1), ("p", "y", "a", 2), ("q", "b", "", 0), ("q", "b", "hub", 0)]
     assert rows.columns == ["wallet", "pool_address", "funder", "position", "is_public", "hop"]
+
+
+def test_first_position_of_a_trader_needs_no_sort(spark):
+    top = (1 << 63) - 1
+    seen = [("t", 5, 3), ("t", 5, 2), ("t", 6, 1), ("n", None, 3), ("n", -3, 1), ("m", 7, None), ("m", 7, 0), ("x", top, (1 << 62) - 2), ("y", -5, 0), ("y", -5, -4),
+            ("z", 0, 0), ("q", None, None), ("l", -top - 1, 4)]
+    rows = spark.createDataFrame([("p", t, 1, b, i) for t, b, i in seen], "pool_address STRING, trader STRING, quote_raw BIGINT, block_number BIGINT, log_index BIGINT")
+    rows = rows.withColumn("ts", F.timestamp_seconds(F.lit(0)))
+    found = intel.trader_activity(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    want = rows.groupBy("trader").agg(F.min(F.struct("block_number", "log_index")).alias("s")).select("trader", "s.*")
+    assert {tuple(r) for r in found.select("trader", "first_block", "first_log_index").collect()} == {tuple(r) for r in want.collect()}
