@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepool.operators import funding, intel
+from tidepool.operators import decode, funding, intel
+from tidepool.sources.dex import SWAP_V2
 
 
 def test_walk_hands_on_only_wallets_that_lead_on(spark, monkeypatch):
@@ -36,3 +37,17 @@ def test_first_position_of_a_trader_needs_no_sort(spark):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
     want = rows.groupBy("trader").agg(F.min(F.struct("block_number", "log_index")).alias("s")).select("trader", "s.*")
     assert {tuple(r) for r in found.select("trader", "first_block", "first_log_index").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_undecodable_logs_are_dropped_before_decoding(spark):
+    whole, topic = "0x" + "0" * 63 + "7" + "0" * 192, "0x" + "1" * 64
+    logs = spark.createDataFrame(
+        [("0xA", [SWAP_V2, topic, topic], whole), ("0xA", [SWAP_V2, topic, topic], whole[:100]), ("0xA", [SWAP_V2], whole), ("0xA", None, whole), ("0xA", [SWAP_V2, topic, topic], None), ("0xA", ["0x0"], whole)],
+        "address STRING, topics ARRAY<STRING>, data STRING").withColumn("tx_hash", F.lit("0xH"))
+    kept = decode.tag_swaps(logs, F.lit(True), only=True)
+    every = decode.tag_swaps(logs, F.lit(True)).filter("side IS NOT NULL")
+    assert kept.columns == every.columns
+    assert kept.collect() == every.collect() and kept.count() == 1
+    # Read once more by the filter, an amount would stand there too.
+    plan = decode.decode_swaps_v2(logs, F.lit(True))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("substr(" not in line for line in plan.splitlines() if "Filter" in line)

@@ -36,11 +36,12 @@ def decode_launches(logs: DataFrame, specs: list[DexSpec] | DexSpec | None = Non
     )
 
 
-def tag_swaps(logs: DataFrame, quote_is_token0: Column, specs: list[DexSpec] | None = None) -> DataFrame:
+def tag_swaps(logs: DataFrame, quote_is_token0: Column, specs: list[DexSpec] | None = None, only: bool = False) -> DataFrame:
     """Every swap log of every exchange with side, quote limbs and recipient; NULL when undecodable.
 
     Constant-product swaps hold amount-in and amount-out of either token, signed-delta swaps a single
-    signed amount, which stands where the amount-in would. Layouts come from ``specs``.
+    signed amount, which stands where the amount-in would. Layouts come from ``specs``. ``only`` keeps the
+    decodable logs: a filter on the result would be pushed below it and decode every log once more.
     """
     specs = DEXES if specs is None else specs
     data, topic = F.col("data"), F.get("topics", F.lit(0))
@@ -56,8 +57,9 @@ def tag_swaps(logs: DataFrame, quote_is_token0: Column, specs: list[DexSpec] | N
     usable = topic.isin([spec.swap_topic for spec in specs]) & (F.size("topics") > own(lambda spec: spec.recipient_topic)) & (
         F.length(data) >= own(lambda spec: 2 + 64 * spec.swap_words)
     )
-    words = logs.withColumns({
-        "_ok": F.coalesce(usable, F.lit(False)),
+    kept = logs.filter(usable) if only else logs
+    words = kept.withColumns({
+        "_ok": F.lit(True) if only else F.coalesce(usable, F.lit(False)),
         "_first": word_of(lambda spec: spec.swap_in),
         "_out": word_of(lambda spec: spec.swap_out),
         "_signed": signed,
@@ -82,13 +84,13 @@ def tag_swaps(logs: DataFrame, quote_is_token0: Column, specs: list[DexSpec] | N
 def decode_swaps_v2(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
     """Constant-product swaps: quote paid in is a buy, otherwise a sell of the amount paid out."""
     wanted = logs.filter(F.get("topics", F.lit(0)).isin([spec.swap_topic for spec in DEXES if not spec.signed_swaps]))
-    return tag_swaps(wanted, quote_is_token0).filter("side IS NOT NULL")
+    return tag_swaps(wanted, quote_is_token0, only=True)
 
 
 def decode_swaps_v3(logs: DataFrame, quote_is_token0: Column) -> DataFrame:
     """Signed-delta swaps: a positive quote delta is a buy, anything else (zero too) a sell."""
     wanted = logs.filter(F.get("topics", F.lit(0)).isin([spec.swap_topic for spec in DEXES if spec.signed_swaps]))
-    return tag_swaps(wanted, quote_is_token0).filter("side IS NOT NULL")
+    return tag_swaps(wanted, quote_is_token0, only=True)
 
 
 def resolve_token_side(decoded: DataFrame, quotes: DataFrame, creations: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def window_logs(logs: DataFrame, pools: DataFrame, tip_block: int, window_blocks
 def window_traders(logs: DataFrame, transactions: DataFrame, pools: DataFrame, tip_block: int, window_blocks: int = BLOCKS_PER_DAY) -> DataFrame:
     """``trader_activity`` rows of the window's decodable swaps; ``pools`` carries quote_is_token0."""
     seen = window_logs(logs, pools.select(POOL, "launch_block", "quote_is_token0"), tip_block, window_blocks)
-    swaps = tag_swaps(seen, F.col("quote_is_token0")).filter("side IS NOT NULL")
+    swaps = tag_swaps(seen, F.col("quote_is_token0"), only=True)
     signed = resolve_traders(swaps, in_window(transactions, tip_block, window_blocks))
     return intel.trader_activity(signed.withColumn("ts", F.timestamp_seconds("time_stamp")))
 
