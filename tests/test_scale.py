@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepool.operators import decode, funding, intel
+from tidepool.operators import decode, funding, intel, research
+from tidepool.plans import attendees
+from tidepool.plans.queries_research import _in_files
+from tidepool.runtime import skew_join
 from tidepool.sources.dex import SWAP_V2
+from tidepool.streaming import ingest
 
 
 def test_walk_hands_on_only_wallets_that_lead_on(spark, monkeypatch):
@@ -51,3 +55,21 @@ def test_undecodable_logs_are_dropped_before_decoding(spark):
     # Read once more by the filter, an amount would stand there too.
     plan = decode.decode_swaps_v2(logs, F.lit(True))._jdf.queryExecution().optimizedPlan().toString()
     assert all("substr(" not in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_walk_writes_its_edges_only_when_asked(spark, monkeypatch):
+    names, real = [], research.stage
+
+    def watched(df, name):
+        names.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(research, "stage", watched)
+    pairs = [("a", "x"), ("b", "x"), ("c", "b"), ("x", None)]
+    edges = spark.createDataFrame([(w, f, "external", f"{w}<", i) for i, (w, f) in enumerate(pairs)], "wallet STRING, funder STRING, via STRING, tx_hash STRING, position INT")
+    walk = research.research_walk(spark.createDataFrame([("a",)], "seed STRING"), edges, 2)
+    assert names.count("research-frontier") == 1 and "research-edges" not in names
+    assert {tuple(r) for r in walk.edges.collect()} == {("a", "a", "x"), ("a", "b", "x"), ("a", "x", None)} and walk.edges.count() == 3
+    assert walk.edges is walk.edges and names.count("research-edges") == 1
+    assert [tuple(r) for r in walk.complete.collect()] == [("a", False)]
+    assert sorted((r.address, r.hops, r.direction) for r in walk.nodes.collect()) == [("a", 0, "seed"), ("b", 2, "funded"), ("x", 1, "funder")]
\ No newline at end of file

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +25,14 @@ UP, DOWN = "funder", "funded"
 @dataclass
 class Walk:
     nodes: DataFrame     # seed, address, direction, hops, via, tx_hash (the seed itself included)
-    edges: DataFrame     # seed, child, funder
+    found: DataFrame     # seed, child, funder, ...: every edge end met, as often as it was met
     complete: DataFrame  # seed, complete
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        """seed, child, funder; written when first asked for, because it may be as large as the nodes."""
+        return stage(self.found.select("seed", "child", "funder").distinct(), "research-edges")
+
 
 def _meet(frontier: DataFrame, edges: DataFrame, back: DataFrame) -> DataFrame:
     """Neighbours of the frontier in both directions, one row per edge end.
@@ -66,7 +71,9 @@ def research_walk(seeds: DataFrame, edges: DataFrame, hops: int = RESEARCH_HOPS,
         step = stage(_meet(frontier, base, back).withColumn("hops", F.lit(hop + 1).cast("long")), "research-step")
         met.append(step)
         seen = reduce(DataFrame.unionByName, visited)
-        frontier = stage(unseen_nodes(step, seen, ["seed", "address"]), "research-frontier")
+        frontier = unseen_nodes(step, seen, ["seed", "address"])
+        if hop + 1 < hops:  # what lies beyond the last hop only tells which walks are complete
+            frontier = stage(frontier, "research-frontier")
         visited.append(frontier)
     found = reduce(DataFrame.unionByName, met)
     first = F.struct(F.col("hops"), (F.col("step") == DOWN).alias("late"), F.col("parent"), F.col("position"), F.col("child"))
@@ -82,7 +89,7 @@ def research_walk(seeds: DataFrame, edges: DataFrame, hops: int = RESEARCH_HOPS,
     own = all_seeds.select("seed", F.col("seed").alias("address"), F.lit("seed").alias("direction"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("tx_hash"))
     unfinished = visited[-1].select("seed").distinct().withColumn("_open", F.lit(True))
     complete = all_seeds.join(unfinished, "seed", "left").select("seed", F.col("_open").isNull().alias("complete"))
-    return Walk(stage(nodes.unionByName(own), "research-nodes"), stage(found.select("seed", "child", "funder").distinct(), "research-edges"), complete)
+    return Walk(stage(nodes.unionByName(own), "research-nodes"), found, complete)
 
 
 def _strict_direction(nodes: DataFrame, found: DataFrame) -> DataFrame:
