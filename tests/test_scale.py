@@ -57,6 +57,17 @@ def test_undecodable_logs_are_dropped_before_decoding(spark):
     assert all("substr(" not in line for line in plan.splitlines() if "Filter" in line)
 
 
+def test_chain_of_skew_joins_makes_each_step_once(skewed):
+    dims = [skewed.createDataFrame([(i, i * 10 + n) for i in range(3)] + [(None, 5)], f"k INT, d{n} INT") for n in range(3)]
+    facts = skewed.createDataFrame([(i % 4, i) for i in range(6)] + [(None, 9)], "k INT, v INT")
+    got, want = facts, facts
+    for dim in dims:
+        got, want = skew_join(got, dim, "k", "left"), want.join(dim, "k", "left")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "hot-facts" in got.inputFiles()[0]
+
+
 def test_walk_writes_its_edges_only_when_asked(spark, monkeypatch):
     names, real = [], research.stage
 
