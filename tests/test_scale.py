@@ -68,6 +68,16 @@ def test_chain_of_skew_joins_makes_each_step_once(skewed):
     assert plan.count("Join ") == 1 and "hot-facts" in got.inputFiles()[0]
 
 
+def test_late_rows_are_made_by_all_tasks(spark, tmp_path):
+    rows = spark.range(0, 80, 1, 8).withColumn("made_in", F.spark_partition_id())
+    _in_files(rows, F.col("id") % 2 == 0, "id", str(tmp_path / "in"))
+    written = spark.read.parquet(str(tmp_path / "in")).withColumn("file", F.input_file_name()).collect()
+    late = [r for r in written if r.id % 2 == 0]
+    assert sorted(r.id for r in written) == list(range(80))
+    assert len({r.file for r in late}) == 1 and len({r.file for r in written}) == 5
+    assert {r.made_in for r in late} == set(range(8))
+
+
 def test_walk_writes_its_edges_only_when_asked(spark, monkeypatch):
     names, real = [], research.stage
 
@@ -83,4 +93,12 @@ def test_walk_writes_its_edges_only_when_asked(spark, monkeypatch):
     assert {tuple(r) for r in walk.edges.collect()} == {("a", "a", "x"), ("a", "b", "x"), ("a", "x", None)} and walk.edges.count() == 3
     assert walk.edges is walk.edges and names.count("research-edges") == 1
     assert [tuple(r) for r in walk.complete.collect()] == [("a", False)]
-    assert sorted((r.address, r.hops, r.direction) for r in walk.nodes.collect()) == [("a", 0, "seed"), ("b", 2, "funded"), ("x", 1, "funder")]
\ No newline at end of file
+    assert sorted((r.address, r.hops, r.direction) for r in walk.nodes.collect()) == [("a", 0, "seed"), ("b", 2, "funded"), ("x", 1, "funder")]
+
+
+def test_batch_of_few_files_is_decoded_by_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.createDataFrame([(i, ["t", None]) for i in range(40)] + [(3, ["t", None]), (None, None)], "id INT, topics ARRAY<STRING>").coalesce(1)
+    wide = ingest._spread(one)
+    assert wide.rdd.getNumPartitions() == cores and sorted(map(repr, wide.collect())) == sorted(map(repr, one.collect()))
+    assert ingest._spread(wide) is wide

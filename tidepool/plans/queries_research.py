@@ -14,7 +14,7 @@ from tidepool.plans.oracle_parts import BALL, CLASSIFIED, PUBLIC_AT, ROOTS, TRAD
 from tidepool.plans.queries_intel import _INTEL, _merge, once
 from tidepool.plans.queries_market import _BUILT, _LIQ, _PRICES, _VOLUME, _hex_dims, _liquidity, _volume, priced_pools
 from tidepool.plans.registry import query
-from tidepool.runtime import stage, stage_root
+from tidepool.runtime import stage, stage_root, stage_table
 from tidepool.sources.bucketed import BucketedTable
 from tidepool.sources.dex import quote_dim
 from tidepool.sources.tables import TableStore
@@ -129,9 +129,15 @@ INGEST_FILES = 4
 
 
 def _in_files(df, late, order: str, path: str, files: int = INGEST_FILES) -> None:
-    """Writes ``df`` as ``files`` files in the order of ``order``; the rows that ``late`` holds come in a last one."""
-    df.filter(~late).repartitionByRange(files, order).write.parquet(path)
-    df.filter(late).coalesce(1).write.mode("append").parquet(path)
+    """Writes ``df`` as ``files`` files in the order of ``order``; the rows that ``late`` holds come in a last one.
+
+    The rows are made once, not for the ranges, their files and the last file each, and by all tasks: ``coalesce`` would
+    make them in one.
+    """
+    held = stage_table(df, "in-files")
+    held.df.filter(~late).repartitionByRange(files, order).write.parquet(path)
+    held.df.filter(late).repartition(1).write.mode("append").parquet(path)
+    held.drop()
 
 
 def _ingested(fx: Fixtures) -> tuple[BucketedTable, TableStore]:

@@ -26,7 +26,7 @@ def stream_ingest_launches(spark: SparkSession, in_dir: str, store: TableStore,
     logs = spark.readStream.schema(schemas.RAW_LOGS).format(fmt).options(**options).load(in_dir)
 
     def save(batch: DataFrame, _batch_id: int) -> None:
-        rows = build_launches(decode_launches(batch), dims["transactions"], dims["tokens"], dims["quotes"], dims["creations"])
+        rows = build_launches(decode_launches(_spread(batch)), dims["transactions"], dims["tokens"], dims["quotes"], dims["creations"])
         if launches is not None:
             launches.merge(rows, lambda old, new: upsert.upsert_launches(old, new, overwrite_metrics))
         else:
@@ -42,6 +42,12 @@ def stream_ingest_launches(spark: SparkSession, in_dir: str, store: TableStore,
     return logs.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _spread(batch: DataFrame) -> DataFrame:
+    """A batch of fewer splits than cores (a few files) on all cores: decoding costs far more than moving the logs."""
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    return batch.repartition(cores) if batch.rdd.getNumPartitions() < cores else batch
+
+
 def _factories(spark: SparkSession) -> DataFrame:
     from tidepool.sources.dex import dex_catalog
 
