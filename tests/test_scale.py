@@ -78,6 +78,17 @@ def test_late_rows_are_made_by_all_tasks(spark, tmp_path):
     assert {r.made_in for r in late} == set(range(8))
 
 
+def test_analysis_makes_its_launches_once(spark, monkeypatch):
+    monkeypatch.setattr(attendees.ops, "build_pool_graph", lambda launches, *_, **__: launches)
+    monkeypatch.setattr(attendees.ops, "classify_attendees", lambda traders, graph: traders)
+    pools = spark.createDataFrame([("p", "t0"), ("p", "t0"), (None, "t1")], "pool_address STRING, quote STRING")
+    launches = pools.join(spark.createDataFrame([("t0", 2.0)], "quote STRING, price_usd DOUBLE"), "quote", "left")
+    labels = spark.createDataFrame([], "address STRING, kind STRING")
+    done = attendees.analyse(launches, pools, None, labels)
+    assert sorted(map(repr, done.launches.collect())) == sorted(map(repr, launches.collect()))
+    assert done.graph is done.launches and "Join" not in done.launches._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_walk_writes_its_edges_only_when_asked(spark, monkeypatch):
     names, real = [], research.stage
 
