@@ -74,3 +74,19 @@ def test_a_staged_table_is_not_staged_again(spark):
     first = stage(spark.range(3).toDF("n"), "once")
     assert stage(first, "twice") is first
     assert stage(first.filter("n > 0"), "other").count() == 2
+
+
+def test_small_rings_leave_the_traders_where_they_are(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(attendees, "stage", lambda df, name: (written.append(name), stage(df, name))[1])
+    edges = spark.createDataFrame([(t, "f", 1) for t in ("a", "b", "c")], EDGE)
+    traders = spark.createDataFrame([("p", t, n, float(n), 1, 1, n) for n, t in enumerate(("a", "b", "c", "d"))],
+                                    "pool_address STRING, trader STRING, quote_raw BIGINT, quote_total DOUBLE, trade_count BIGINT, first_block BIGINT, first_log_index BIGINT")
+    traders = traders.withColumns({"quote_key": F.col("quote_raw"), "first_trade_at": F.lit("2001-01-01").cast("timestamp_ntz")})
+    launches = spark.createDataFrame([("p", "x", "d", 1.0, 2, 1.0)], "pool_address STRING, creator STRING, dex STRING, volume_usd DOUBLE, quote_decimals INT, price_usd DOUBLE")
+    launches = launches.withColumn("created_at", F.lit("2001-01-01").cast("timestamp_ntz"))
+    done = attendees.analyse(launches, traders, edges, spark.createDataFrame([], "address STRING, kind STRING"))
+    report = attendees.report(done, edges, edges.select(F.col("wallet").alias("address")), F.lit("2001-01-01").cast("timestamp_ntz"))
+    assert [(r.cluster_id, r.member_count, r.funding_source) for r in report.clusters.collect()] == [(1, 3, "f")]
+    assert {r.address: r.cluster_id for r in report.buyers.collect()} == {"a": 1, "b": 1, "c": 1, "d": None}
+    assert "clustered" not in written
