@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidepool.operators import funding, intel, research
@@ -279,3 +280,28 @@ def test_research_caps_and_roles(spark):
     roles = {r["address"]: r["role"] for r in nodes.collect()}
     assert connections.count() == 10 and len(roles) == 5 and roles["hub"] == "seed" and roles["w29"] == "rug"
     assert edges.count() == sum(a.startswith("w") for a in roles)
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3])
+def test_research_by_blocks_equals_the_written_walk(spark, monkeypatch, hops):
+    """Nodes made when they are read, over many blocks and slices, are those of the walk that writes every edge end."""
+    rng = random.Random(hops)
+    funders = random_funders(rng, 60, 2) | {f"z{i:02d}": ["hub", f"w{i:02d}"] for i in range(40)}
+    rows = [*edge_rows(funders), ("w01", None, "external", "lost", 9), (None, "w02", "external", "lost", 1), ("w03", "w44", None, None, None)]
+    edges = spark.createDataFrame(rows, EDGE)
+    out = spark.createDataFrame([(f, w, "internal", f"{f}>{w}", n) for n, (f, w) in enumerate([("hub", "z01"), ("hub", "w50"), ("w07", "w08"), ("w07", "z09")])],
+                                "funder STRING, wallet STRING, via STRING, hash STRING, position LONG")
+    seeds = spark.createDataFrame([(s,) for s in ("w03", "W17", "z05", "hub", "nobody", "w03", None)], "seed STRING")
+    want = research.research_walk(seeds, edges, hops, out)
+    kept = []
+    monkeypatch.setattr(research, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(research, "SLICE_EDGES", 40)
+    monkeypatch.setattr(research, "ANSWER_ROWS", 5)
+    monkeypatch.setattr(research, "stage", lambda df, name: kept.append(name) or stage(df, name))
+    walk = research.research_walk(seeds, edges, hops, out, written=False)
+    columns = ["seed", "address", "direction", "hops", "via", "tx_hash"]
+    rows = lambda df: sorted(map(repr, df.select(*columns).collect()))
+    assert rows(walk.nodes) == rows(want.nodes) and walk.nodes.schema == want.nodes.schema
+    assert kept.count("research-step") == hops - 1 and "research-nodes" not in kept
+    assert sorted(walk.edges.collect(), key=repr) == sorted(want.edges.collect(), key=repr)
+    assert sorted(walk.complete.collect(), key=repr) == sorted(want.complete.collect(), key=repr)

@@ -116,7 +116,7 @@ def two_way_walk(fx: Fixtures):
     outflows = funding.funding_outflows(fx.f_transfers, _CUT_OUT)
     every = funding.dedupe_first_inflow(fx.f_transfers)
     seeds = every.filter(F.substring("wallet", 2, 18).cast("long") >= 100).select(F.col("wallet").alias("seed"))
-    return research.research_walk(seeds, inflows_, 2, outflows).nodes
+    return research.research_walk(seeds, inflows_, 2, outflows, written=False).nodes
 
 
 # ---- streaming jobs over the whole tables, run until their input is exhausted
