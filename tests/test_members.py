@@ -90,3 +90,23 @@ def test_small_rings_leave_the_traders_where_they_are(spark, monkeypatch):
     assert [(r.cluster_id, r.member_count, r.funding_source) for r in report.clusters.collect()] == [(1, 3, "f")]
     assert {r.address: r.cluster_id for r in report.buyers.collect()} == {"a": 1, "b": 1, "c": 1, "d": None}
     assert "clustered" not in written
+
+
+def test_the_graph_asks_once_for_every_nodes_funders(skewed, monkeypatch):
+    """Large rings do not write the traders again, a hop's funders serve its edges too, and later hops read only wallets that fund."""
+    spark, written, drawn = skewed, [], []
+    monkeypatch.setattr(attendees, "stage", lambda df, name: (written.append(name), stage(df, name))[1])
+    monkeypatch.setattr(intel, "stage", lambda df, name: (drawn.append((name, df)), stage(df, name))[1])
+    edges = spark.createDataFrame([*[(t, "f", 1) for t in ("a", "b", "c")], ("a", "e", 2), ("f", "g", 1), ("g", "h", 1), ("h", "i", 1), ("i", "j", 1), ("d", "b", 1), ("lone", "f", 1), ("k", None, 1)], EDGE)
+    traders = spark.createDataFrame([("p", t, n, float(n), 1, 1, n) for n, t in enumerate(("a", "b", "c", "d", "k"))],
+                                    "pool_address STRING, trader STRING, quote_raw BIGINT, quote_total DOUBLE, trade_count BIGINT, first_block BIGINT, first_log_index BIGINT")
+    traders = traders.withColumns({"quote_key": F.col("quote_raw"), "first_trade_at": F.lit("2001-01-01").cast("timestamp_ntz")})
+    launches = spark.createDataFrame([("p", "x", "d", 1.0, 2, 1.0)], "pool_address STRING, creator STRING, dex STRING, volume_usd DOUBLE, quote_decimals INT, price_usd DOUBLE")
+    launches = launches.withColumn("created_at", F.lit("2001-01-01").cast("timestamp_ntz"))
+    done = attendees.analyse(launches, traders, edges, spark.createDataFrame([], "address STRING, kind STRING"))
+    report = attendees.report(done, edges, edges.select(F.col("wallet").alias("address")), F.lit("2001-01-01").cast("timestamp_ntz"))
+    want = {("a", "e"), ("a", "f"), ("b", "f"), ("c", "f"), ("d", "b"), ("f", "g"), ("g", "h")}
+    assert {(r.from_address, r.to_address) for r in report.edges.collect()} == want
+    assert "clustered" not in written and [name for name, _ in drawn].count("graph-met") == 3
+    assert "_funds" in done.graph.edges.columns
+    assert {r.wallet for r in done.graph.edges.filter("_funds").collect()} == {"b", "f", "g"}
